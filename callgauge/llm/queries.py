@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import exact_dedup, secret_scan, sharding
+from callgauge.llm import exact_dedup, secret_scan, sharding, simhash
 from callgauge.llm.common import table, text_of
 
 
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def _of(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -40,5 +44,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_secret_scan, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secret_scan, op7_exact_dedup)}
 SQL = {"op7_exact_dedup": OP7_SQL}
