@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import exact_dedup, secret_scan, sharding, simhash
+from callgauge.llm import exact_dedup, secret_scan, sharding, simhash, token_output
 from callgauge.llm.common import table, text_of
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: 40 shards whose numbers of rows differ by one at most."""
     out = sharding.write_shards(table(spark, sf_dir, "documents"), 40)
@@ -33,6 +39,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,5 +55,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secret_scan, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secret_scan, op4_token_output, op7_exact_dedup)}
 SQL = {"op7_exact_dedup": OP7_SQL}
