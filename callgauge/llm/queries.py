@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import byte_bpe, exact_dedup, packing, secret_scan, sharding, simhash, token_output
+from callgauge.llm import byte_bpe, ctph, exact_dedup, license_scan, packing, quality, secret_scan, sharding, simhash, token_output
 from callgauge.llm.common import table, text_of
 
 
@@ -49,10 +49,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +69,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")
+    starts = F.transform("places", lambda x: x["start"])
+    best = F.array_max(F.transform("matches", lambda x: x["share"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("places").alias("base_labels"), labels("matches").alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
+
+
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -68,5 +87,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secret_scan, op4_token_output, op5_packing, op7_exact_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secret_scan, op4_token_output, op5_packing, op6_fingerprints, op7_exact_dedup, op8_quality, op9_byte_bpe, op10_license_scan)}
 SQL = {"op7_exact_dedup": OP7_SQL}
