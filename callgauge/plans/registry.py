@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from callgauge.plans import evaluation
+from callgauge.plans import evaluation, urls
 
-FAMILIES = (evaluation,)
+FAMILIES = (evaluation, urls)
 
 
 def queries() -> dict[str, Callable]:
