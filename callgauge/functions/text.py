@@ -16,8 +16,8 @@ RESPONSES = ("200", "default")
 
 def tokens(text: Column) -> Column:
     """Lower-cased (A-Z) runs of ASCII letters and digits."""
-    bare = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+    bare = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")
+    return F.filter(F.split(bare, " "), lambda t: t != "")
 
 
 def stem(token: Column) -> Column:
@@ -37,13 +37,13 @@ def expand(tokens_: Column, synonyms: dict[str, list[str]]) -> Column:
 
 def trigram_text(text: Column) -> Column:
     """What trigrams are taken of: lower case, everything but letters and digits one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\s]", ""), r"\s+", " "))
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^a-z0-9\x09-\x0D\x20]", ""), r"[\x09-\x0D\x20]+", " "))
 
 
 def trigrams(plain: Column) -> Column:
-    """The distinct trigrams of trigram_text(); none under three characters (a sequence would count down)."""
-    places = F.when(F.length(plain) >= 3, F.sequence(F.lit(1), F.length(plain) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(plain, i, F.lit(3))))
+    """The distinct trigrams of trigram_text(); none under three characters. One pass: the lookahead takes no character."""
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def first_sentence(text: Column, words: int = 20) -> Column:

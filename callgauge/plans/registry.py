@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from callgauge.plans import evaluation, urls
+from callgauge.plans import evaluation, texts, urls
 
-FAMILIES = (evaluation, urls)
+FAMILIES = (evaluation, urls, texts)
 
 
 def queries() -> dict[str, Callable]:
