@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from callgauge.plans import evaluation, texts, urls
+from callgauge.plans import evaluation, reports, texts, urls
 
-FAMILIES = (evaluation, urls, texts)
+FAMILIES = (evaluation, urls, texts, reports)
 
 
 def queries() -> dict[str, Callable]:
