@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Fixed values of the light stemmer.
 SUFFIXES = ("ing", "ed")
 # Media types by preference, and the keys of a response that count as a success.
-MEDIA_TYPES = ("application/json", "application/x-www-form-urlencoded", "multipart/form-data", "application/xml", "text/plain", "application/octet-stream")
+MEDIA_TYPES = ("application/json", "application/x-www-form-urlencoded", "multipart/form-data", "text/x-markdown", "text/plain", "*/*")
 RESPONSES = ("200", "default")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from callgauge.plans import evaluation, reports, texts, urls
+from callgauge.plans import evaluation, reports, specs, texts, urls
 
-FAMILIES = (evaluation, urls, texts, reports)
+FAMILIES = (evaluation, urls, texts, reports, specs)
 
 
 def queries() -> dict[str, Callable]:
