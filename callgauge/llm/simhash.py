@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from callgauge.llm.common import text_of, written
 
 SAMPLE = 20_000  #: points that the tree is grown on
-LEAF = 12_000  #: points at which a leaf is not cut further, and the size of a block
+LEAF = 1 << 16  #: points at which a leaf is not cut further, and the size of a block: some seconds of comparing
 SLAB = 1 << 22  #: comparisons held in memory at once
 
 
@@ -183,7 +183,7 @@ def links(points: DataFrame, radius: int, total: int, ratio: float | None) -> Da
         band = F.explode(F.sequence(size("lo"), size("hi") + 1))
     else:
         band = F.lit(0)
-    shards = written(points.mapInArrow(dealt, kind).select("node", "fp", "fp2", "leaf", band.alias("band")), "simhash-shards")
+    shards = written(points.select("node", "fp", "fp2", "lo", "hi").mapInArrow(dealt, kind).select("node", "fp", "fp2", "leaf", band.alias("band")), "simhash-shards")
     blocks = shards.groupBy("leaf", "band").count().filter("count > 1").select("leaf", "band", F.ceil(F.col("count") / LEAF).cast("int").alias("_g"))
     own = F.pmod(F.xxhash64("fp", "fp2", F.lit(11)), F.col("_g")).cast("int")
     tasks = (
