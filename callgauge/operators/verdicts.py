@@ -99,7 +99,7 @@ def sample_verdict(error: Column, endpoint: Column, n_all: Column, n_correct_val
 
 def execution_verdict(code: Column, call: Column, complete: Column, exit_code: Column) -> Column:
     """Cause of an error, NULL if the code ran: markers at its end, no call, an open call, a failing run."""
-    body = F.rtrim(code)
+    body = F.regexp_replace(code, r"\s+$", "")
     return (
         F.when(body.endswith("//timeout"), "timeout").when(body.endswith("//unsatisfiable_constraints"), "unsatisfiable").when(call.isNull(), "no_request")
         .when(~complete, "incomplete_request").when(F.coalesce(exit_code, F.lit(0)) != 0, "runtime_error")

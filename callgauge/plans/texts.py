@@ -80,7 +80,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", F.when(F.col("source").contains("1"), 0.25).otherwise(0.0).alias("boost")), "doc_id")
-    total = retrieval.hybrid(c, {"score": 1.0, "containment": 0.5, "semantic": 0.0, "boost": 1.0})
+    total = retrieval.hybrid(c, {"score": 1.0, "containment": 2.0, "semantic": 0.0, "boost": 1.0})
     return retrieval.top(c.select("item_id", "doc_id", total.alias("hybrid")), "item_id", K, F.col("hybrid").desc(), F.col("doc_id"))
 
 
@@ -170,7 +170,7 @@ SQL = {
         p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)
         SELECT item_id, page_id, round(sum(bonus), 6) AS bonus FROM q JOIN r USING (token) JOIN p ON contains(path, part) GROUP BY 1, 2""",
     "rerank_topk": f"WITH {CANDIDATES} " + _top("cand", "item_id, doc_id, score, containment", "item_id", "containment DESC, score DESC, doc_id", K),
-    "hybrid_score": f"WITH {CANDIDATES}, h AS (SELECT item_id, doc_id, round(score + 0.5 * containment + CASE WHEN contains(source, '1') THEN 0.25 ELSE 0 END, 6) AS hybrid FROM cand JOIN documents USING (doc_id)) "
+    "hybrid_score": f"WITH {CANDIDATES}, h AS (SELECT item_id, doc_id, round(score + 2.0 * containment + CASE WHEN contains(source, '1') THEN 0.25 ELSE 0 END, 6) AS hybrid FROM cand JOIN documents USING (doc_id)) "
     + _top("h", "item_id, doc_id, hybrid", "item_id", "hybrid DESC, doc_id", K),
     "vector_topk": f"WITH {NEAR} SELECT * FROM nn",
     "dedup_first_last": f"WITH {NEAR}, g AS (SELECT query_id, label, min(rank) AS first_rank, max_by(vec_id, rank) AS vec_id FROM nn JOIN embeddings USING (vec_id) GROUP BY 1, 2) " + _top("g", "*", "query_id", "first_rank", K),
