@@ -61,13 +61,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = exact_duplicates(docs, id_col, text_col)
     gone = written(
-        found.groupBy(F.col(id_col).alias("_gid"), F.col("text_sha256").alias("_gs")).agg(F.max(F.col("kept").cast("int")).alias("_any"), F.count(F.lit(1)).alias("_rows")).filter("_any = 0 OR _rows > 1"),
+        found.groupBy(F.col(id_col).alias("_cg_id"), F.col("text_sha256").alias("_cg_of")).agg(F.max(F.col("kept").cast("int")).alias("_cg_any"), F.count(F.lit(1)).alias("_cg_rows")).filter("_cg_any = 0 OR _cg_rows > 1").drop("_cg_rows"),
         "exact-gone",
     )
     sha = F.sha2(normalised(text_col), 256)
-    marked = docs.withColumn("_cg_sha", sha).join(gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_cg_sha") == F.col("_gs")), "left")
-    kept = marked.filter("_any IS NULL").select(*docs.columns)
-    if gone.filter("_any = 1").isEmpty():
+    marked = docs.withColumn("_cg_sha", sha).join(gone, F.col(id_col).eqNullSafe(F.col("_cg_id")) & (F.col("_cg_sha") == F.col("_cg_of")), "left")
+    kept = marked.filter("_cg_any IS NULL").select(*docs.columns)
+    if gone.filter("_cg_any = 1").isEmpty():
         return kept
-    again = marked.filter("_any = 1").dropDuplicates([id_col, "_cg_sha"])
+    again = marked.filter("_cg_any = 1").dropDuplicates([id_col, "_cg_sha"])
     return kept.unionByName(again.select(*docs.columns))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -18,6 +19,11 @@ _MARKS = frozenset(".,;:!?")
 LONG = 64  #: characters of a unit that isn't remembered
 
 
+def unsure(text: str) -> bool:
+    """Whether a character is unassigned here: patterns' engines of other Unicode versions may take it for a letter."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class _Memo(dict):
     def __init__(self, make, most: int = MEMO):
         self.make, self.most = make, most
@@ -113,7 +119,7 @@ class Ids:
                 # below U+0250 NFC changes nothing and lower() goes letter by letter as the library does, but for U+0130
                 if u.isascii() or max(u) < "\u0250" and "\u0130" not in u:
                     return self._joined(u.lower()) if u else b""
-                return b"".join([self.pieces[p] for p in self.find(normalised(u))])
+                return self._whole(u) if unsure(u) else b"".join([self.pieces[p] for p in self.find(normalised(u))])
 
             self.units = _Memo(unit)
             self.packed = self._blank
@@ -131,7 +137,10 @@ class Ids:
             return self.pieces[unit]
         if word[-1:] in _MARKS and word[:-1].isalpha():
             return self.pieces[unit[:-1]] + self.pieces[word[-1]]
-        return b"".join([self.pieces[p] for p in self.find(unit)])
+        return self._cut(unit)
+
+    def _cut(self, unit: str) -> bytes:
+        return self._whole(unit) if unsure(unit) else b"".join([self.pieces[p] for p in self.find(unit)])
 
     def _blank(self, text: str) -> bytes:
         """White space separates and goes."""
@@ -148,14 +157,14 @@ class Ids:
         first, *rest = text.split(" ")
         try:
             if not first or not first[-1].isspace():
-                return b"".join([*(self.pieces[p] for p in self.find(first)), *map(self.after.__getitem__, rest)]) if first or not rest else self._careful(text)
+                return b"".join([self._cut(first), *map(self.after.__getitem__, rest)]) if first or not rest else self._careful(text)
         except TypeError:
             pass
         return self._careful(text)
 
     def _careful(self, text: str) -> bytes:
         first, *rest = re.split(r"(?<=\S) (?=\S)", text)
-        return b"".join([self.pieces[p] for p in self.find(first)] + [self.pieces[p] for u in rest for p in self.find(" " + u)])
+        return b"".join([self._cut(first), *(self._cut(" " + u) for u in rest)])
 
 
 @lru_cache(maxsize=4)
