@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from callgauge.plans import evaluation, reports, specs, texts, urls
+from callgauge.plans import evaluate, evaluation, reports, specs, texts, urls
 
-FAMILIES = (evaluation, urls, texts, reports, specs)
+FAMILIES = (evaluation, urls, texts, reports, specs, evaluate)
 
 
 def queries() -> dict[str, Callable]:
