@@ -233,3 +233,59 @@ def type_declaration(path: str, method: str, operation: dict) -> str:
     source = operation.get("operationId") or method + re.sub(r"\{[^{}]*\}", "", path)
     name = "".join(p[:1].upper() + p[1:] for p in re.split("[^A-Za-z0-9]+", source)) + "Request"
     return f"// {method.upper()} {path}\n// {comment(operation.get('summary') or operation.get('description') or '')}\ntype {name} = {_block(fields)}"
+
+
+def resolved(node, root: dict, seen: frozenset = frozenset()):
+    """``node`` with references in place to any depth; one that leads back to itself, or nowhere, is an empty object."""
+    if isinstance(node, list):
+        return [resolved(x, root, seen) for x in node]
+    if not isinstance(node, dict):
+        return node
+    ref = node.get("$ref")
+    if not isinstance(ref, str):
+        return {k: resolved(v, root, seen) for k, v in node.items()}
+    if ref in seen:
+        return {}
+    try:
+        return resolved(pointer(root, ref), root, seen | {ref})
+    except ValueError:
+        return {}
+
+
+def formatted_schema(schema) -> dict:
+    """What a reader needs of a schema: type, description, enum, items and properties, ``allOf`` folded, required names once each."""
+    schema = without_all_of(schema) if isinstance(schema, dict) else {}
+    out = {k: schema[k] for k in ("type", "description", "enum", "format") if k in schema}
+    if isinstance(schema.get("items"), dict):
+        out["items"] = formatted_schema(schema["items"])
+    if isinstance(schema.get("properties"), dict):
+        out["properties"] = {k: formatted_schema(v) for k, v in schema["properties"].items()}
+    if isinstance(schema.get("required"), list):
+        out["required"] = list(dict.fromkeys(schema["required"]))
+    return out
+
+
+def endpoint(path: str, method: str, operation: dict) -> dict:
+    """An operation as a flat record: its texts, parameters, body and answers."""
+    first = " ".join(re.split(r"[.!?]", operation.get("description") or "")[0].split()[:20])
+    body = body_schema(operation)
+    return {
+        "method": method,
+        "path": path,
+        "summary": operation.get("summary") or first,
+        "description": operation.get("description") or "",
+        "operation_id": operation.get("operationId") or "",
+        "parameters": [{"name": p.get("name"), "in": p.get("in"), "required": bool(p.get("required")), "description": p.get("description", ""), "schema": formatted_schema(p.get("schema"))} for p in operation.get("parameters") or []],
+        "body": formatted_schema(body) if body is not None else None,
+        "responses": {str(k): (v or {}).get("description", "") for k, v in (operation.get("responses") or {}).items()},
+    }
+
+
+def endpoint_text(e: dict) -> str:
+    """The text that an endpoint is found by."""
+    marks = lambda p: " | ".join([*(["required"] if p["required"] else []), f"in: {p['in']}", f"type: {p['schema'].get('type', 'any')}"])
+    lines = [f"{e['method'].upper()} {e['path']}", e["summary"], e["description"], e["operation_id"]]
+    lines += [f"{p['name']} [{marks(p)}] {p['description']}".rstrip() for p in e["parameters"]]
+    if e["body"]:
+        lines.append("body: " + ", ".join(property_names(e["body"])))
+    return "\n".join(x for x in lines if x)

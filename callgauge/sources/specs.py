@@ -86,3 +86,15 @@ def declarations(specs: DataFrame) -> DataFrame:
 def documents(specs: DataFrame) -> DataFrame:
     """The retrieval corpus: each operation's texts."""
     return each_spec(specs, lambda spec: [(p, m, i, t) for p, m, o in openapi.operations(openapi.prepared(spec)) for i, t in enumerate(openapi.embedding_texts(p, m, o))], "path string, method string, variant int, content string")
+
+
+def endpoints(specs: DataFrame) -> DataFrame:
+    """Each operation as a record (JSON) and as the text that it is found by, references in place to any depth."""
+    def rows(spec: dict) -> list[tuple]:
+        out = []
+        for i, (path, method, o) in enumerate(openapi.operations(openapi.prepared({**spec, "paths": openapi.resolved(spec.get("paths") or {}, spec)}))):
+            e = openapi.endpoint(path, method, o)
+            out.append((i, path, method, json.dumps(e, default=str), openapi.endpoint_text(e)))
+        return out
+
+    return each_spec(specs, rows, "ordinal int, path string, method string, endpoint string, content string")

@@ -39,3 +39,25 @@ def test_variables_of_tasks(spark):
     df = spark.createDataFrame([("axios.get(u)", json.dumps({"u": "https://h"})), ("axios.get(u)", None), (None, None)], "c string, v string")
     got = [r["r"]["url"] for r in df.select(calls.captured(F.col("c"), F.col("v")).alias("r")).collect()]
     assert got == ["https://h", "${u}", None]
+
+
+def test_retrieval_of_endpoints(spark, sf_dir):
+    from callgauge.plans import retrieve
+
+    first = {r["task_id"]: r["method"] for r in retrieve.spec_retrieval(spark, sf_dir).filter("rank = 1").collect()}
+    assert first == {0: "delete", 1: "get", 2: "post"}
+    held = {r["task_id"]: r["context"] for r in retrieve.spec_context(spark, sf_dir).collect()}
+    assert held[2].startswith("// POST /items") and all(len(c) <= 311 for c in held.values())
+    rows = retrieve.spec_endpoints(spark, sf_dir).collect()
+    assert len(rows) == 6 and "$limit [required | in: query | type: integer] how many" in rows[0]["content"]
+
+
+def test_masks(spark):
+    from callgauge.operators import constraints
+
+    rules = [constraints.Rule("digits", "<", ">", r"\d+>")]
+    df = spark.createDataFrame([("a", ["1", "x", ">", "$"], [0.1, 0.9, 0.5, 0.2]), ("a<", ["1", "x", ">", "$"], [0.1, 0.9, 0.5, 0.2]), ("a<x", ["1", "x", ">", "$"], [0.1, 0.9, 0.5, 0.2])], "t string, n array<string>, s array<double>")
+    low = float("-inf")
+    got = [r["m"] for r in df.select(constraints.masked(rules, F.col("t"), F.col("n"), F.col("s"), 2, 3).alias("m")).collect()]
+    assert got == [[0.1, 0.9, 0.5, 0.2], [0.1, low, low, low], [low, low, low, 0.2]]
+    assert constraints.allowed(rules, [(True, 2)], "a<", [(0, "1")], 1, -1.0) == ([], True)
