@@ -87,5 +87,28 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+def _either(word: str) -> str:
+    """ASCII letters of either case, spelled out: the engine's own folding goes beyond ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{16,}"), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("github", "gh[pousr]_[A-Za-z0-9]{36,}"))
+
+#: Matches are marked in place; running sums of the lengths between the marks are positions.
+OP3_SQL = (
+    "WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS x FROM documents), k AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{kind}' AS kind, string_split(regexp_replace(x, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM t" for i, (kind, pattern) in enumerate(_KINDS))
+    + f"""), s AS (SELECT doc_id, ord, kind, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM k),
+p AS (SELECT doc_id, ord, kind, i, split_part(part, chr(2), 1) AS m, length(part) - CASE WHEN i > 0 THEN 1 ELSE 0 END AS n FROM s),
+e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, ord ORDER BY i) - n + length(m) AS stop FROM p),
+f AS (SELECT doc_id, ord, kind, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM e
+      WHERE i > 0 AND CASE kind WHEN 'assign' THEN length(regexp_extract(m, '{_ASSIGN}', 2)) >= 12 WHEN 'access' THEN length(m) >= 18 ELSE true END),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM f GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)
+"""
+)
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secret_scan, op4_token_output, op5_packing, op6_fingerprints, op7_exact_dedup, op8_quality, op9_byte_bpe, op10_license_scan)}
-SQL = {"op7_exact_dedup": OP7_SQL}
+SQL = {"op3_secret_scan": OP3_SQL, "op7_exact_dedup": OP7_SQL}
