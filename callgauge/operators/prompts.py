@@ -38,8 +38,7 @@ def instantiate(template: str, values: dict[str, Column]) -> Column:
 def split_prompt(prompt: Column, bullet: str = "* ") -> tuple[Column, Column]:
     """What stands up to the last line that starts with a bullet, and what follows it. Without a bullet: nothing, and all."""
     lines = F.split(prompt, "\n")
-    places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).startswith(bullet))
-    last = F.coalesce(F.array_max(places), F.lit(0))
+    last = F.coalesce(F.array_max(F.transform(lines, lambda line, i: F.when(line.startswith(bullet), i + 1).otherwise(0))), F.lit(0))
     return F.array_join(F.slice(lines, F.lit(1), last), "\n"), F.array_join(F.slice(lines, last + 1, F.size(lines)), "\n")
 
 
