@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callgauge.llm.common import text_of
+from callgauge.llm.tokenizing import unsure
 
 CHUNK = 32_768  #: characters
 OVERLAP = 1_024  #: characters a chunk reads beyond its own
-PIECES = 600_000  #: pre-tokens remembered by a worker
+PIECES = 100_000  #: pre-tokens remembered by a worker
 
 
 class Codec:
@@ -50,6 +51,8 @@ class Codec:
         return got
 
     def encode(self, text: str) -> bytes:
+        if unsure(text):  # the library's own pattern engine decides
+            return array("I", self.core.encode_ordinary(text)).tobytes()
         known, piece = self.known, self.piece
         return b"".join([known.get(p) or piece(p) for p in self.find(text)])
 
@@ -161,7 +164,8 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(n, "<i4"))]).tolist()
             scans.append((np.frombuffer(s, "<i4").tolist(), [i[b:e] for b, e in zip(ends, ends[1:], strict=False)]))
             text.append(c[:chunk])
-        ids = stitch(use, "".join(text), scans, chunk)
+        full = "".join(text)
+        ids = use.encode(full) if unsure(full) else stitch(use, full, scans, chunk)
         return pa.table([group.column("_id").slice(0, 1).combine_chunks().take(pa.array([0] * copies)), pa.array([len(ids) // 4] * copies, pa.int64()), pa.array([ids] * copies, pa.binary())], names=kind.names)
 
     stitched = spread.mapInArrow(scanned, wide).groupBy("_id", "_h").applyInArrow(joined, kind)
