@@ -117,33 +117,38 @@ def lanes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """_id, ids (little-endian unsigned 32-bit integers), in the shared folder."""
+    """_id, ids (little-endian unsigned 32-bit integers), in the shared folder; and a row a task with counted, its ids and their numbers."""
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    kind = rows.select("_id").schema.add("ids", T.BinaryType()).add("counted", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = ids_of(tokenizer).packed
+        packed, held, id_type = ids_of(tokenizer).packed, np.zeros(0, np.int64), pa.int64()
         for batch in batches:
+            id_type = batch.schema.field(0).type
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(t.as_py()) + end for t in part.column(1)], pa.binary())], ["_id", "ids"])
+                ids = [packed(t.as_py()) + end for t in part.column(1)]
+                more = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                if len(more) > len(held):
+                    held, more = more.astype(np.int64), held
+                held[: len(more)] += more
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], kind.names)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([np.stack([used, held[used]]).astype("<i8").tobytes()], pa.binary())], kind.names)
 
-    return written(rows.mapInArrow(run, rows.select("_id").schema.add("ids", T.BinaryType())), "token-ids")
+    return written(rows.mapInArrow(run, kind), "token-ids")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, count) over all documents: a row an id and task before the sum, a row an id after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64)
         for batch in batches:
-            more = np.bincount(np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), "<u4"))
-            if len(more) > len(held):
-                held, more = more.astype(np.int64), held
-            held[: len(more)] += more
-        used = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(held[used], pa.int64())], ["id", "n"])
+            for x in batch.column(0):
+                used, n = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("count"))
+    return tokens.filter("counted IS NOT NULL").select("counted").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("count"))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -180,7 +185,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(marks, pa.binary()), pa.array([code[b:e] for b, e in zip(begins, begins[1:], strict=False)], pa.binary())], ["_id", "n", "marks", "code"])
 
     kind = tokens.select("_id").schema.add("n", T.LongType()).add("marks", T.BinaryType()).add("code", T.BinaryType())
-    ordered = tokens.mapInArrow(coded, kind).repartitionByRange("_id").sortWithinPartitions("_id", "n", F.xxhash64("code"))
+    ordered = tokens.filter("counted IS NULL").select("_id", "ids").mapInArrow(coded, kind).repartitionByRange("_id").sortWithinPartitions("_id", "n", F.xxhash64("code"))
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start = TaskContext.get().partitionId(), 0, 0
