@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callgauge.llm.common import shared_dir, text_of
+from callgauge.llm.common import shared_dir, text_of, written
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,8 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     ledger.scan(versions.select("_blob", "_t"), rules)
     order = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(i)) for i, r in enumerate(rules)])
     span = F.struct(F.col("span_start").alias("start"), order.alias("ord"), "kind", F.col("span_end").alias("end"))
-    by_blob = ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    # written, so that both sides of the join below come straight from a shuffle and a hot blob's rows can be split
+    by_blob = written(ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans")), "secret-spans")
     none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
     held = versions.select("_id", "_blob").join(by_blob, F.col("_blob") == F.col("blob"), "left")
     return held.select(F.col("_id").alias(id_col), F.col("_blob").alias("blob"), F.coalesce("spans", none).alias("spans"))
