@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from callgauge.llm.common import shared_dir, text_of
 
 BUCKET_BYTES = 8 << 20
+TASKS = 100_000  #: partitions that buckets are dealt over at most; with more buckets a task takes several, one at a time
 
 
 def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +41,7 @@ def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, seed:
     )
     # in hash order first: a task that runs again shuffles the same array
     by_hash = lambda a, b: F.when(a["_h"] < b["_h"], -1).when(a["_h"] > b["_h"], 1).otherwise(0)
-    scattered = record.select(bucket, F.struct("_h", "_r").alias("_x")).repartition(F.col("_b")).groupBy("_b").agg(F.collect_list("_x").alias("_xs"))
+    scattered = record.select(bucket, F.struct("_h", "_r").alias("_x")).repartition(min(buckets, TASKS), F.col("_b")).groupBy("_b").agg(F.collect_list("_x").alias("_xs"))
     dealt = scattered.join(places, "_b").select("_from", F.posexplode(F.shuffle(F.array_sort("_xs", by_hash), F.lit(seed))).alias("_p", "_x"))
     at = F.col("_from") + F.col("_p")
     shard = F.expr(f"cast((_from + _p) * {n_shards}L div {max(n, 1)}L as int)")
