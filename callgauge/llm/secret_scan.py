@@ -47,6 +47,11 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: What redaction takes: of a key all up to its END line, where none follows the header and the lines of base64 below it.
+_PEM_END = r"(?:(?!-----BEGIN )(?s:.))*?-----END [A-Z ]*PRIVATE KEY-----"
+_PEM_CUT = r"(?:\s+[A-Za-z0-9+/=]{16,})*+"
+REDACTED = tuple(Rule("pem", 2, rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_PEM_END}|{_PEM_CUT})") if r.kind == "pem" else r for r in RULES)
+
 
 class BlobLedger:
     """The table below ``path``: rows of scanned blobs (``rules`` set) and of findings (``kind`` set)."""
@@ -125,7 +130,7 @@ def span_text(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """``docs`` with each span in the text replaced by ``<kind>``; overlapping spans by that of the first.
 
     Rows without a finding, null texts among them, are unchanged, and no row goes. Other columns stay.
