@@ -1,7 +1,7 @@
 """License scans by a positional index of each template's rarest words.
 
 Document frequencies of the templates' words are counted over all documents. Of every template the words of highest IDF
-are posted with their positions. A text looks up its words; where two postings of a template (or the only one)
+are posted with their positions, two of its key phrase among them. A text looks up its words; where two postings of a template (or the only one)
 agree on the place at which the template would start, the template is laid there: its key phrase must
 stand word for word, and the share of its words that agree is the score.
 """
@@ -72,16 +72,20 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col
 
 
 class Index:
-    """Postings of the rarest words of each template."""
+    """Postings of the rarest words of each template and of its key phrase."""
 
     def __init__(self, templates: tuple[Template, ...], n: int, counts: dict[bytes, int], rare: int = RARE):
         idf = lambda w: math.log((n + 1) / (counts.get(w, 0) + 1))
         self.templates = [(t.label, words_of(t.words), words_of(t.key)) for t in templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed = []
-        for k, (_, words, _key) in enumerate(self.templates):
-            chosen = sorted(set(words), key=lambda w: (-idf(w), w))[:rare]
-            self.needed.append(min(2, len(chosen)))
+        for k, (_, words, key) in enumerate(self.templates):
+            rank = lambda w: (-idf(w), w)
+            needed = min(2, len(set(key)))
+            # as many as have to agree come from the key phrase: where it stands, the template is found
+            chosen = sorted(set(key), key=rank)[:needed]
+            chosen += sorted(set(words).difference(chosen), key=rank)[: rare - needed]
+            self.needed.append(needed)
             for at, w in enumerate(words):
                 if w in chosen:
                     self.postings[w].append((k, at))
