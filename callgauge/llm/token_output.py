@@ -1,8 +1,8 @@
 """Token ids as canonical, length-limited Huffman code in independent blocks.
 
-One pass tokenises and keeps the ids as a table. Counts of all ids (a row an id) make the code. A second pass codes
-each document, on a byte boundary, with the bit offset of every 256th id; range partitions by document
-id then join documents to blocks. Files are Parquet rows, a row a block, so that Spark's committer and any Hadoop
+One pass tokenises and keeps the ids as a table. Counts of all ids (a row an id) make the code. Range partitions by document
+id (and a hash, and a row number, so that a repeated id is split) then join documents to blocks, which are coded there,
+a document on a byte boundary, with the bit offset of every 256th id. Files are Parquet rows, a row a block, so that Spark's committer and any Hadoop
 file system hold them; a block's bytes and the code book are all that its decoding needs.
 """
 
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callgauge.llm.common import shared_dir, text_of, written
-from callgauge.llm.tokenizing import ids_of
+from callgauge.llm.tokenizing import ids_of, largest_id
 
-LONGEST = 20  #: bits of a code at most (up to 24: a 32-bit window has to hold it behind 7 bits)
+LONGEST = 20  #: bits of a code at most, more where the ids in use need it (up to 24: a 32-bit window has to hold it behind 7 bits)
 STRIDE = 256  #: ids between checkpoints
 BLOCK = 1 << 17  #: ids at which a block ends; documents are whole
+PART = 1 << 20  #: ids of a longer document that are coded at a time, each part on a byte boundary (a multiple of STRIDE)
 MAGIC = 0x31424743
 
 
@@ -116,25 +117,55 @@ def lanes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc, np.minimum(STRIDE, tokens[doc] - nth * STRIDE)
 
 
+def coded_block(ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The code of documents with these numbers of ids, and the bit offset of each lane; documents are coded some PART ids at a time."""
+    data, offsets, done = [], [], 0
+    ends = np.cumsum(tokens)
+    cuts = np.unique(np.concatenate([[0], ends, *(np.arange(e - n, e, PART) for e, n in zip(ends, tokens, strict=True) if n > PART)]))
+    first = 0
+    while first < len(cuts) - 1:
+        last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + PART, "right")) - 1)
+        bounds = cuts[first : last + 1] - cuts[first]
+        code, _, at = pack(ids[cuts[first] : cuts[last]], bounds, lengths, codes)
+        offsets += [at[b:e:STRIDE] + 8 * done for b, e in zip(bounds, bounds[1:], strict=False)]
+        data.append(code.tobytes())
+        done += len(code)
+        first = last
+    return b"".join(data), np.concatenate([np.zeros(0, np.int64), *offsets])
+
+
+def width(tokenizer: str, end_id: int | None) -> int:
+    """Bytes that every id fits in."""
+    return 2 if max(largest_id(tokenizer), end_id or 0) < 1 << 16 else 4
+
+
 def token_table(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """_id, ids (little-endian unsigned 32-bit integers), in the shared folder; and a row a task with counted, its ids and their numbers."""
+    """_id, ids (little-endian unsigned integers of ``width(...)`` bytes), nth (of the row in its task), in the shared folder.
+
+    Beside them a row a task with counted: its ids and their numbers.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    kind = rows.select("_id").schema.add("ids", T.BinaryType()).add("counted", T.BinaryType())
+    end, size = b"" if end_id is None else int(end_id).to_bytes(4, "little"), width(tokenizer, end_id)
+    kind = T.StructType([T.StructField("_id", rows.schema["_id"].dataType)]).add("ids", T.BinaryType()).add("nth", T.LongType()).add("counted", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, held, id_type = ids_of(tokenizer).packed, np.zeros(0, np.int64), pa.int64()
+        packed, held, id_type, nth = ids_of(tokenizer).packed, np.zeros(0, np.int64), pa.int64(), 0
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
                 ids = [packed(t.as_py()) + end for t in part.column(1)]
-                more = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                more = np.bincount(flat)
                 if len(more) > len(held):
                     held, more = more.astype(np.int64), held
                 held[: len(more)] += more
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], kind.names)
+                ends = np.cumsum(np.fromiter((len(x) * size // 4 for x in ids), np.int64, len(ids))).tolist()
+                raw = flat.astype(f"<u{size}").tobytes()
+                ids = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(range(nth, nth + len(ids)), pa.int64()), pa.nulls(len(ids), pa.binary())], kind.names)
+                nth += len(ids)
         used = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([np.stack([used, held[used]]).astype("<i8").tobytes()], pa.binary())], kind.names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([np.stack([used, held[used]]).astype("<i8").tobytes()], pa.binary())], kind.names)
 
     return written(rows.mapInArrow(run, kind), "token-ids")
 
@@ -168,49 +199,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     counted = id_counts(tokens).toPandas()  # a row an id of the vocabulary
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
-    lengths = code_lengths(counts)
+    lengths = code_lengths(counts, max(LONGEST, int(np.count_nonzero(counts) - 1).bit_length()))
     codes = canonical(lengths)
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "id bigint, length int").coalesce(1).write.parquet(f"{path}/codes")
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
-                raw = [x.as_py() for x in part.column(1)]
-                sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                data, starts, at = pack(np.frombuffer(b"".join(raw), "<u4"), bounds, lengths, codes)
-                code, begins = data.tobytes(), starts.tolist()
-                marks = [(at[b:e:STRIDE] - 8 * s).astype("<u8").tobytes() for b, e, s in zip(bounds, bounds[1:], begins, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(marks, pa.binary()), pa.array([code[b:e] for b, e in zip(begins, begins[1:], strict=False)], pa.binary())], ["_id", "n", "marks", "code"])
-
-    kind = tokens.select("_id").schema.add("n", T.LongType()).add("marks", T.BinaryType()).add("code", T.BinaryType())
-    ordered = tokens.filter("counted IS NULL").select("_id", "ids").mapInArrow(coded, kind).repartitionByRange("_id").sortWithinPartitions("_id", "n", F.xxhash64("code"))
+    size = width(tokenizer, end_id)
+    # coded behind the shuffle, so that sampling for its ranges reads the table and codes nothing; nth splits rows that repeat
+    keys = ["_id", F.xxhash64("ids"), "nth"]
+    ordered = tokens.filter("counted IS NULL").select("_id", "ids", "nth").repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "ids")
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
-        count = 0
+        names, held, count = [], [], 0
 
         def block() -> pa.RecordBatch:
-            ids, n, marks, code = zip(*held, strict=True)
-            sizes = np.array([len(c) for c in code], np.uint64)
-            begins = 8 * (np.cumsum(sizes) - sizes)
-            offsets = [np.frombuffer(m, "<u8") + b for m, b in zip(marks, begins, strict=True)]
-            head = np.array([MAGIC, len(ids), sum(map(len, offsets)), int(sizes.sum())], "<u8").tobytes()
-            data = b"".join([head, np.array(n, "<u8").tobytes(), np.concatenate(offsets).astype("<u8").tobytes(), *code])
+            tokens = np.fromiter((len(x) // size for x in held), np.int64, len(held))
+            data, offsets = coded_block(np.frombuffer(b"".join(held), f"<u{size}"), tokens, lengths, codes)
+            head = np.array([MAGIC, len(tokens), len(offsets), len(data)], "<u8").tobytes()
+            whole = b"".join([head, tokens.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), data])
             of = lambda x, t: pa.array([x], t)
-            return pa.RecordBatch.from_arrays([of(part, pa.int32()), of(seq, pa.int64()), of(start, pa.int64()), of(sum(n), pa.int64()), of(list(ids), pa.list_(id_type)), of(data, pa.binary())], ["part", "seq", "start", "tokens", "doc_ids", "block"])
+            return pa.RecordBatch.from_arrays([of(part, pa.int32()), of(seq, pa.int64()), of(start, pa.int64()), of(count, pa.int64()), of(names, pa.list_(id_type)), of(whole, pa.binary())], ["part", "seq", "start", "tokens", "doc_ids", "block"])
 
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                count += row[1]
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names.append(name)
+                held.append(ids.as_py())
+                count += len(held[-1]) // size
                 if count >= BLOCK:
                     yield block()
-                    seq, start, count, held = seq + 1, start + count, 0, []
+                    seq, start, count, names, held = seq + 1, start + count, 0, [], []
         if held:
             yield block()
 

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
+from os.path import commonprefix
 
 #: Units remembered by a worker; later ones are encoded each time. Frequent units come early.
 MEMO = 700_000
@@ -43,7 +44,7 @@ def _byte_letters() -> list[str]:
 
 
 def merger(model: dict):
-    """A function from a pre-token's bytes to its ids, by tiktoken's merge loop; None if it could differ.
+    """A function from a pre-token's bytes to its packed ids, by tiktoken's merge loop; None if it could differ.
 
     That loop joins two neighbours whenever their bytes together are a token, a merge list only the pair that it
     names. They agree where each merge makes a token of its own from older ones and each token, on its own,
@@ -75,8 +76,8 @@ def merger(model: dict):
     if any(core.encode_single_piece(t) != [order[t]] for t in made):
         return None
     mark = b"\xff" if end else b""
-    one, id_at = core.encode_single_piece, ids.__getitem__
-    return lambda piece: map(id_at, one(piece + mark))
+    one, four = core.encode_single_piece, [i.to_bytes(4, "little") for i in ids].__getitem__
+    return lambda piece: b"".join(map(four, one(piece + mark)))
 
 
 class Ids:
@@ -93,15 +94,16 @@ class Ids:
         before, normal = told["pre_tokenizer"] or {}, told["normalizer"]
         model, letters = self.library.model, str.maketrans({b: c for b, c in enumerate(_byte_letters())})
         marks = [t["content"] for t in told["added_tokens"]]
+        lead = commonprefix(marks)
 
         merged = merger(told["model"]) if told["model"]["type"] == "BPE" else None
 
         def piece(p: str) -> bytes:
             if merged:
-                return array("I", merged(p.encode())).tobytes()
+                return merged(p.encode())
             return array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
 
-        self.pieces = _Memo(piece, PIECES)
+        self.pieces, self.piece = _Memo(piece, PIECES), piece
         steps = before.get("pretokenizers", [])
         if normal is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and told["model"]["type"] == "BPE":
             self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -114,11 +116,12 @@ class Ids:
             self.find, normalised = regex.compile(steps[0]["pattern"]["Regex"]).findall, self.library.normalizer.normalize_str
 
             def unit(u: str) -> bytes:
-                if any(m in u for m in marks):
+                if lead in u and any(m in u for m in marks):
                     return self._whole(u)
                 # below U+0250 NFC changes nothing and lower() goes letter by letter as the library does, but for U+0130
                 if u.isascii() or max(u) < "\u0250" and "\u0130" not in u:
-                    return self._joined(u.lower()) if u else b""
+                    low = u.lower()
+                    return piece(low) if low.isalpha() else self._joined(low) if u else b""
                 return self._whole(u) if unsure(u) else b"".join([self.pieces[p] for p in self.find(normalised(u))])
 
             self.units = _Memo(unit)
@@ -134,7 +137,7 @@ class Ids:
         """The ids of a unit's pre-tokens; of a word, and of a word and one mark, without the pattern."""
         word = unit[1:] if unit[:1] == " " else unit
         if word.isalpha():
-            return self.pieces[unit]
+            return self.piece(unit)
         if word[-1:] in _MARKS and word[:-1].isalpha():
             return self.pieces[unit[:-1]] + self.pieces[word[-1]]
         return self._cut(unit)
@@ -171,3 +174,10 @@ class Ids:
 def ids_of(path: str) -> Ids:
     """One a worker and file."""
     return Ids(path)
+
+
+@lru_cache(maxsize=4)
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
