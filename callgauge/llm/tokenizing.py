@@ -14,7 +14,8 @@ from functools import lru_cache
 from os.path import commonprefix
 
 #: Units remembered by a worker; later ones are encoded each time. Frequent units come early.
-MEMO = 700_000
+MEMO = 300_000
+DOOR = 1 << 22  #: places for the hashes of units that came once
 PIECES = 100_000  #: pre-tokens remembered
 _MARKS = frozenset(".,;:!?")
 LONG = 64  #: characters of a unit that isn't remembered
@@ -26,13 +27,19 @@ def unsure(text: str) -> bool:
 
 
 class _Memo(dict):
+    """Remembers what comes a second time: most distinct units come once."""
+
     def __init__(self, make, most: int = MEMO):
-        self.make, self.most = make, most
+        self.make, self.most, self.came = make, most, bytearray(DOOR)
 
     def __missing__(self, unit):
         made = self.make(unit)
         if len(self) < self.most and len(unit) <= LONG:
-            self[unit] = made
+            at = hash(unit) % DOOR
+            if self.came[at]:
+                self[unit] = made
+            else:
+                self.came[at] = 1
         return made
 
 
