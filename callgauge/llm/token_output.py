@@ -83,7 +83,7 @@ def pack(ids: np.ndarray, bounds: np.ndarray, lengths: np.ndarray, codes: np.nda
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """For each window of the longest code's bits: symbol * 32 + length."""
     longest = int(lengths.max(initial=1))
-    table = np.zeros(1 << longest, np.int64)
+    table = np.zeros(1 << longest, np.int32 if len(lengths) < 1 << 26 else np.int64)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     runs = 1 << (longest - lengths[order])

@@ -12,12 +12,13 @@ import unicodedata
 from array import array
 from functools import lru_cache
 from os.path import commonprefix
+from string import punctuation
 
 #: Units remembered by a worker; later ones are encoded each time. Frequent units come early.
 MEMO = 300_000
 DOOR = 1 << 22  #: places for the hashes of units that came once
 PIECES = 100_000  #: pre-tokens remembered
-_MARKS = frozenset(".,;:!?")
+_MARKS = punctuation.replace("'", "")  #: a run of these behind a word is one pre-token; an apostrophe may begin another kind
 LONG = 64  #: characters of a unit that isn't remembered
 
 
@@ -26,6 +27,13 @@ def unsure(text: str) -> bool:
     return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
+def _latin(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class _Memo(dict):
     """Remembers what comes a second time: most distinct units come once."""
 
@@ -105,12 +113,11 @@ class Ids:
 
         merged = merger(told["model"]) if told["model"]["type"] == "BPE" else None
 
-        def piece(p: str) -> bytes:
-            if merged:
-                return merged(p.encode())
-            return array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+        def modelled(p: bytes) -> bytes:
+            return array("I", [t.id for t in model.tokenize(p.decode("latin-1").translate(letters))]).tobytes()
 
-        self.pieces, self.piece = _Memo(piece, PIECES), piece
+        self.merged = merged or modelled
+        self.pieces = _Memo(lambda p: self.merged(p.encode()), PIECES)
         steps = before.get("pretokenizers", [])
         if normal is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and told["model"]["type"] == "BPE":
             self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -125,10 +132,9 @@ class Ids:
             def unit(u: str) -> bytes:
                 if lead in u and any(m in u for m in marks):
                     return self._whole(u)
-                # below U+0250 NFC changes nothing and lower() goes letter by letter as the library does, but for U+0130
-                if u.isascii() or max(u) < "\u0250" and "\u0130" not in u:
-                    low = u.lower()
-                    return piece(low) if low.isalpha() else self._joined(low) if u else b""
+                # below U+0100 NFC changes nothing and lower() goes letter by letter as the library does
+                if u.isascii() or _latin(u):
+                    return self._joined(u.lower()) if u else b""
                 return self._whole(u) if unsure(u) else b"".join([self.pieces[p] for p in self.find(normalised(u))])
 
             self.units = _Memo(unit)
@@ -141,12 +147,10 @@ class Ids:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _joined(self, unit: str) -> bytes:
-        """The ids of a unit's pre-tokens; of a word, and of a word and one mark, without the pattern."""
-        word = unit[1:] if unit[:1] == " " else unit
-        if word.isalpha():
-            return self.piece(unit)
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return self.pieces[unit[:-1]] + self.pieces[word[-1]]
+        """The ids of a unit's pre-tokens; of a word, and of a word and a run of marks, without the pattern."""
+        stem = unit.rstrip(_MARKS)
+        if (stem[1:] if stem[:1] == " " else stem).isalpha():
+            return self.merged(stem.encode()) + self.pieces[unit[len(stem) :]] if len(stem) < len(unit) else self.merged(unit.encode())
         return self._cut(unit)
 
     def _cut(self, unit: str) -> bytes:
