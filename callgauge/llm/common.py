@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests, a notebook), the context's checkpoint folder, else one below the warehouse.
+    Where that is unset, the context's checkpoint folder, else (a local master only: tests, a notebook) one below the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/callgauge/{label}-{uuid.uuid4().hex}"
@@ -31,6 +33,30 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one call in the shared folder; those not kept are deleted when the call is done with them.
+
+    A table may go once everything made from it is written; a plan that is returned unrun may read kept ones only.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        path = shared_dir(self.spark, label)
+        if not keep:
+            self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder by the file system that owns it."""
     jvm = spark.sparkContext._jvm

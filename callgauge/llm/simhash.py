@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgauge.llm.common import text_of, written
+from callgauge.llm.common import Scratch, text_of
 
 SAMPLE = 20_000  #: points that a tree is grown on at least, one in SHARE of more, and at most MOST (8 MB on the driver)
 SHARE, MOST = 8, 1 << 20
@@ -164,12 +164,13 @@ def close_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: in
                 yield i[ok] + at, j[ok]
 
 
-def links(points: DataFrame, radius: int, total: int, ratio: float | None) -> DataFrame:
+def links(points: DataFrame, radius: int, total: int, ratio: float | None, scratch: Scratch | None = None) -> DataFrame:
     """(a, b): links between nodes of ``points`` (node, fp, fp2, lo, hi), a spanning star a group and task.
 
     With ``ratio`` only texts whose numbers of shingles are at least so alike need be found: points are dealt over
     classes a ratio wide, and each also visits the class above its own.
     """
+    scratch = scratch or Scratch(points.sparkSession)
     n = points.count()
     most = min(MOST, max(SAMPLE, n // SHARE))
     taken = points.filter(F.pmod(F.xxhash64("fp", "fp2", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -191,7 +192,7 @@ def links(points: DataFrame, radius: int, total: int, ratio: float | None) -> Da
         band = F.explode(F.sequence(size("lo"), size("hi") + 1))
     else:
         band = F.lit(0)
-    shards = written(points.select("node", "fp", "fp2", "lo", "hi").mapInArrow(dealt, kind).select("node", "fp", "fp2", "leaf", band.alias("band")), "simhash-shards")
+    shards = scratch.written(points.select("node", "fp", "fp2", "lo", "hi").mapInArrow(dealt, kind).select("node", "fp", "fp2", "leaf", band.alias("band")), "simhash-shards")
     blocks = shards.groupBy("leaf", "band").count().filter("count > 1").select("leaf", "band", F.ceil(F.col("count") / LEAF).cast("int").alias("_g"))
     own = F.pmod(F.xxhash64("fp", "fp2", F.lit(11)), F.col("_g")).cast("int")
     tasks = (
@@ -217,9 +218,11 @@ def links(points: DataFrame, radius: int, total: int, ratio: float | None) -> Da
     return tasks.groupBy("_task").applyInArrow(compared, "a string, b string").filter("a <> b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) but the roots, with the smallest node that it reaches."""
-    stars = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "simhash-links")
+    if scratch is None:
+        scratch = Scratch(edges.sparkSession)  # whose tables stay
+    stars = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "simhash-links")
     while True:
         tangled = stars.groupBy("u").count().filter("count > 1").select("u").unionByName(stars.join(stars.select(F.col("v").alias("_v")), F.col("u") == F.col("_v"), "left_semi").select("u"))
         if tangled.isEmpty():
@@ -227,10 +230,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), F.least("u", "_m").alias("_m"))
         large = both.join(least, F.col("u") == F.col("_u")).filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        large = written(large, "simhash-large")
+        large = scratch.written(large, "simhash-large")
         low = large.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), "_m")
         small = large.join(low, F.col("u") == F.col("_u")).filter("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
-        stars = written(small.unionByName(low.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct(), "simhash-links")
+        stars = scratch.written(small.unionByName(low.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct(), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, total: int | None = None, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,15 +245,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, total: int
     fingerprint zero. A null id is nobody's component_id unless the whole component has none. Repeated rows
     are all returned. Empty input: no rows. Other columns are ignored.
     """
-    marks = written(fingerprints(docs, words, total is not None, id_col, text_col), "simhash-fingerprints")
-    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    node = digits("fp") if total is None else F.concat(digits("fp"), digits("fp2"))
-    marks = marks.withColumn("node", node)
-    points = written(marks.groupBy("fp", "fp2").agg(F.min("_id").alias("_first"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("node", node), "simhash-points")
-    roots = components(links(points, radius, radius if total is None else total, ratio))
-    rooted = points.select("node", "_first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        marks = scratch.written(fingerprints(docs, words, total is not None, id_col, text_col), "simhash-fingerprints", keep=True)
+        digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+        node = digits("fp") if total is None else F.concat(digits("fp"), digits("fp2"))
+        marks = marks.withColumn("node", node)
+        points = scratch.written(marks.groupBy("fp", "fp2").agg(F.min("_id").alias("_first"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("node", node), "simhash-points")
+        roots = components(links(points, radius, radius if total is None else total, ratio, scratch), scratch)
+        rooted = points.select("node", "_first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
+        named = scratch.written(rooted.select("node", "root").join(smallest, "root").select("node", "component_id"), "simhash-components", keep=True)
     return marks.select("_id", "node").join(named, "node").select(F.col("_id").alias(id_col), F.col("node").alias("fingerprint"), "component_id")
 
 
