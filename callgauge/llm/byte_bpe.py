@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgauge.llm.common import text_of
+from callgauge.llm.common import copies, text_of
 from callgauge.llm.tokenizing import unsure
 
 CHUNK = 32_768  #: characters
@@ -137,14 +137,14 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     length = F.char_length("_t")
     here = rows.filter(length <= chunk).mapInArrow(short, kind)
     # rows that repeat are one document here and come out as often as they came in
-    long = rows.filter(length > chunk).select("_id", "_t", F.sha2("_t", 256).alias("_h"), F.ceil(length / chunk).cast("int").alias("_n"))
-    cut = long.select("_id", "_h", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.substring("_t", (k * chunk + 1).cast("int"), F.lit(chunk + overlap)))).alias("_k", "_c"))
+    long = rows.filter(length > chunk).groupBy("_id", F.sha2("_t", 256).alias("_h")).agg(F.first("_t").alias("_t"), F.count(F.lit(1)).alias("_c")).withColumn("_n", F.ceil(length / chunk).cast("int"))
+    cut = long.select("_id", "_h", "_c", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.substring("_t", (k * chunk + 1).cast("int"), F.lit(chunk + overlap)))).alias("_k", "_c_"))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
         for batch in batches:
             starts, lengths, ids = [], [], []
-            for k, n, c in zip(*(batch.column(x).to_pylist() for x in ("_k", "_n", "_c")), strict=True):
+            for k, n, c in zip(*(batch.column(x).to_pylist() for x in ("_k", "_n", "_c_")), strict=True):
                 s, i = sure(use, c, k + 1 == n)
                 starts.append(np.array(s, "<i4").tobytes())
                 lengths.append(np.array([len(x) for x in i], "<i4").tobytes())
@@ -156,19 +156,17 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     def joined(group: pa.Table) -> pa.Table:
         use = codec(path, pattern)
-        copies, scans, text = 0, [], []
-        for k, c, s, n, i in sorted(zip(*(group.column(x).to_pylist() for x in ("_k", "_c", "_s", "_l", "_i")), strict=True)):
-            copies += k == 0
-            if k < len(scans):
-                continue
+        scans, text = [], []
+        for _, c, s, n, i in sorted(zip(*(group.column(x).to_pylist() for x in ("_k", "_c_", "_s", "_l", "_i")), strict=True)):
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(n, "<i4"))]).tolist()
             scans.append((np.frombuffer(s, "<i4").tolist(), [i[b:e] for b, e in zip(ends, ends[1:], strict=False)]))
             text.append(c[:chunk])
         full = "".join(text)
         ids = use.encode(full) if unsure(full) else stitch(use, full, scans, chunk)
-        return pa.table([group.column("_id").slice(0, 1).combine_chunks().take(pa.array([0] * copies)), pa.array([len(ids) // 4] * copies, pa.int64()), pa.array([ids] * copies, pa.binary())], names=kind.names)
+        return pa.table([group.column("_id").slice(0, 1), group.column("_c").slice(0, 1), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())], names=["_id", "_c", "n_tokens", "ids"])
 
-    stitched = spread.mapInArrow(scanned, wide).groupBy("_id", "_h").applyInArrow(joined, kind)
+    once = T.StructType([kind["_id"], T.StructField("_c", T.LongType()), kind["n_tokens"], kind["ids"]])
+    stitched = copies(spread.mapInArrow(scanned, wide).groupBy("_id", "_h").applyInArrow(joined, once), "_c").select(*kind.names)
     return here.unionByName(stitched).withColumnRenamed("_id", id_col)
 
 

@@ -69,5 +69,16 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Rows that repeat, made at a time.
+COPIES = 4096
+
+
+def copies(rows: DataFrame, times: str) -> DataFrame:
+    """Each row ``times`` times, numbered by _copy from 0; arrays stay short however often one repeats."""
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {COPIES}"))))
+    first = F.col("_run") * COPIES
+    return runs.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col(times), first + COPIES) - 1))).drop("_run")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

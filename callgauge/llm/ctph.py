@@ -177,7 +177,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if waiting:
             yield made([], [], first, waiting)
 
-    found = written(rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_t")).mapInArrow(run, kind), "ctph")
+    # a repeated id is split by its texts, and equal rows, whose order is nobody's matter, by where they stand
+    keys = ["_id", "_h", "_nth"]
+    rows = rows.select("_id", "_t", F.xxhash64("_t").alias("_h"), F.monotonically_increasing_id().alias("_nth"))
+    found = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_t").mapInArrow(run, kind), "ctph")
     # what follows has a row a partition
     heads = found.filter("first_text IS NOT NULL").select(F.col("part").alias("_p"), F.col("first_text").alias("_next"), F.col("fingerprint").alias("_next_print"))
     by_part = Window.orderBy("_p")

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from callgauge.llm.common import text_of, written
 from callgauge.llm.tokenizing import ids_of
 
-#: Rows up to which a table of steps or of ranks is broadcast; beyond it is joined by shuffle.
-SMALL = 500_000
+#: Bytes up to which a table of steps or of ranks is broadcast, and of a row of them at most; beyond it is joined by shuffle.
+SMALL, ROW = 10 << 20, 64
 
 
 def pack_histogram(counts: dict[int, int], width: int) -> list[tuple[int, int, int, int, int]]:
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, width: int, end_id: int | None, id_c
                 longs = [pa.array(x, pa.int64()) for x in (start, length, tokens)]
                 yield pa.RecordBatch.from_arrays([own, *longs, pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64()), pa.array(piece, pa.binary())], ["_id", "start", "length", "doc_tokens", "part", "rank", "ids"])
 
-    kind = rows.select("_id").schema
+    kind = T.StructType([T.StructField("_id", rows.schema["_id"].dataType)])
     for name, t in (("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("part", T.IntegerType()), ("rank", T.LongType()), ("ids", T.BinaryType())):
         kind = kind.add(name, t)
     return written(rows.mapInArrow(run, kind), "pieces")
@@ -100,9 +100,9 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None
     placed = spark.createDataFrame(steps or [(0, 0, 0, 0, 0)], "_length bigint, _from bigint, _to bigint, _first bigint, offset bigint")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = per_part.select(F.col("length").alias("_l"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    if per_part.count() <= SMALL:
+    if per_part.count() * ROW <= SMALL:
         ranks = F.broadcast(ranks)
-    if len(steps) <= SMALL:
+    if len(steps) * ROW <= SMALL:
         placed = F.broadcast(placed)
     ranked = cut.join(ranks, (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p"))).withColumn("_rank", F.col("rank") + F.col("_before"))
     found = ranked.join(placed, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))

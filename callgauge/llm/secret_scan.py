@@ -1,11 +1,11 @@
 """Secret scans over an incremental blob ledger.
 
-A text is content-addressed by its SHA-256 (a blob). The ledger, a Parquet table that only grows, says which rules
-in which version each blob was scanned by and holds their findings; a scan takes the blobs and rules that
-it lacks and appends both kinds of rows in one commit, so a scan that is cut off leaves nothing half done.
-Findings are joined back to every row that holds the blob. All of it is DataFrame operations: copies of a text
-fall together in the map-side half of an aggregation by (blob, text), and positions are running sums over the
-lengths of the segments that end with each match.
+A text is content-addressed by its SHA-256 (a blob). The ledger, a Parquet table that only grows, has a row a blob and
+scan: the rules in their versions that the blob was scanned by, and their findings. A scan takes the blobs and rules that
+it lacks and appends such rows; each is whole in itself, so of a scan that is cut off some blobs are done and the
+others are scanned by the next one. Findings are joined back to every row that holds the blob. All of it is DataFrame
+operations: copies of a text fall together in the map-side half of an aggregation by (blob, text), and positions
+are running sums over the lengths of the segments that end with each match.
 """
 
 from __future__ import annotations
@@ -54,9 +54,10 @@ REDACTED = tuple(Rule("pem", 2, rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_PEM_EN
 
 
 class BlobLedger:
-    """The table below ``path``: rows of scanned blobs (``rules`` set) and of findings (``kind`` set)."""
+    """The table below ``path``: of each blob and scan its rules and their findings."""
 
-    SCHEMA = "blob BINARY, rules ARRAY<STRING>, kind STRING, version INT, span_start LONG, span_end LONG"
+    FOUND = "array<struct<kind:string,version:int,start:bigint,end:bigint>>"
+    SCHEMA = f"blob BINARY, rules ARRAY<STRING>, found {FOUND}"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -71,14 +72,12 @@ class BlobLedger:
     def unseen(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         """_blob, _t, _todo: every distinct text once, with the keys of the rules that it still needs."""
         wanted = F.array(*[F.lit(r.key) for r in rules])
+        blobs = versions.groupBy("_blob", "_t").agg(F.count(F.lit(1)).alias("_n")).select("_blob", "_t")
         if not self.exists():
-            return versions.groupBy("_blob", "_t").agg(F.count(F.lit(1)).alias("_n")).select("_blob", "_t", wanted.alias("_todo"))
-        seen = self.rows().filter("rules IS NOT NULL").select("blob", F.explode("rules").alias("_r")).groupBy("blob").agg(F.collect_set("_r").alias("_seen"))
-        open_ = (
-            versions.join(seen, versions["_blob"] == seen["blob"], "left")
-            .select("_blob", "_t", F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>"))).alias("_todo")).filter("size(_todo) > 0")
-        )
-        return open_.groupBy("_blob", "_t", "_todo").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+            return blobs.withColumn("_todo", wanted)
+        seen = self.rows().select("blob", F.explode("rules").alias("_r")).groupBy("blob").agg(F.collect_set("_r").alias("_seen"))
+        open_ = F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>")))
+        return blobs.join(seen, F.col("_blob") == F.col("blob"), "left").select("_blob", "_t", open_.alias("_todo")).filter("size(_todo) > 0")
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...]) -> None:
         """``versions``: _blob, _t. Appends what the ledger lacks."""
@@ -94,16 +93,27 @@ class BlobLedger:
         upto = Window.partitionBy("_blob", "kind").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
         placed = lengths.select("_blob", "kind", "version", "_m", F.sum("_s").over(upto).alias("_end"))
         value = F.coalesce(*[F.when(F.col("kind") == r.kind, F.char_length(F.regexp_extract("_m", r.pattern, r.value)) >= r.least) for r in rules])
-        findings = placed.filter(value).select(
-            F.col("_blob").alias("blob"), F.lit(None).cast("array<string>").alias("rules"), "kind", "version", (F.col("_end") - F.char_length("_m")).alias("span_start"), F.col("_end").alias("span_end")
-        )
-        marks = todo.select(F.col("_blob").alias("blob"), F.col("_todo").alias("rules"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("version", "int"), ("span_start", "long"), ("span_end", "long"))])
-        findings.unionByName(marks).write.mode("append").option("compression", "zstd").parquet(self.path)
+        spans = placed.filter(value).select("_blob", F.struct("kind", "version", (F.col("_end") - F.char_length("_m")).alias("start"), F.col("_end").alias("end")).alias("_f"))
+        found = spans.groupBy("_blob").agg(F.collect_list("_f").alias("found"))  # of one text
+        rows = todo.select("_blob", "_todo").join(found, "_blob", "left")
+        rows = rows.select(F.col("_blob").alias("blob"), F.col("_todo").alias("rules"), F.coalesce("found", F.array().cast(self.FOUND)).alias("found"))
+        rows.write.mode("append").option("compression", "zstd").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
-        """blob, kind, span_start, span_end of these rules in these versions. Two scans at once may find the same."""
-        named = F.concat_ws("@", "kind", F.col("version").cast("string"))
-        return self.rows().filter(F.col("kind").isNotNull() & named.isin([r.key for r in rules])).select("blob", "kind", "span_start", "span_end").distinct()
+        """(blob, spans): of each blob with any its findings by these rules in these versions, by start and order of rules."""
+        of = lambda x: F.coalesce(*[F.when((x["kind"] == r.kind) & (x["version"] == r.version), F.lit(i)) for i, r in enumerate(rules)])
+        held = self.rows().filter("size(found) > 0").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))  # two scans at once may find the same
+        spans = F.transform(F.filter("found", lambda x: of(x).isNotNull()), lambda x: F.struct(x["start"].alias("start"), of(x).alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
+        return held.select("blob", F.sort_array(spans).alias("spans")).filter("size(spans) > 0")
+
+
+def _scanned(docs: DataFrame, ledger_path: str | None, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """(blob, spans) of the texts of ``docs``, and of others that the ledger knows."""
+    ledger = BlobLedger(docs.sparkSession, ledger_path or shared_dir(docs.sparkSession, "blob-ledger"))
+    texts = docs.select(text_of(text_col).alias("_t"))
+    ledger.scan(texts.select(F.unhex(F.sha2("_t", 256)).alias("_blob"), "_t"), rules)
+    # written, so that both sides of the join to it come straight from a shuffle and a hot blob's rows can be split
+    return written(ledger.findings(rules), "secret-spans")
 
 
 def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,16 +123,9 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     each get their spans, an empty table gives no rows; other columns are ignored. Without
     ``ledger_path`` a fresh ledger in the shared folder is used.
     """
-    spark = docs.sparkSession
-    ledger = BlobLedger(spark, ledger_path or shared_dir(spark, "blob-ledger"))
-    versions = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_blob", F.unhex(F.sha2("_t", 256)))
-    ledger.scan(versions.select("_blob", "_t"), rules)
-    order = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(i)) for i, r in enumerate(rules)])
-    span = F.struct(F.col("span_start").alias("start"), order.alias("ord"), "kind", F.col("span_end").alias("end"))
-    # written, so that both sides of the join below come straight from a shuffle and a hot blob's rows can be split
-    by_blob = written(ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans")), "secret-spans")
+    by_blob = _scanned(docs, ledger_path, rules, text_col)
     none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
-    held = versions.select("_id", "_blob").join(by_blob, F.col("_blob") == F.col("blob"), "left")
+    held = docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("_blob")).join(by_blob, F.col("_blob") == F.col("blob"), "left")
     return held.select(F.col("_id").alias(id_col), F.col("_blob").alias("blob"), F.coalesce("spans", none).alias("spans"))
 
 
@@ -130,14 +133,13 @@ def span_text(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", ledger_path: str | None = None, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """``docs`` with each span in the text replaced by ``<kind>``; overlapping spans by that of the first.
 
     Rows without a finding, null texts among them, are unchanged, and no row goes. Other columns stay.
     """
-    by_blob = scan_secrets(docs, ledger_path, rules, id_col, text_col).filter("size(spans) > 0").groupBy("blob").agg(F.first("spans").alias("_cg_spans"))
-    blob = F.unhex(F.sha2(text_of(text_col), 256))
-    joined = docs.withColumn("_cg_blob", blob).join(by_blob.withColumnRenamed("blob", "_cg_found"), F.col("_cg_blob") == F.col("_cg_found"), "left")
+    by_blob = _scanned(docs, ledger_path, rules, text_col).select(F.col("blob").alias("_cg_found"), F.col("spans").alias("_cg_spans"))
+    joined = docs.join(by_blob, F.unhex(F.sha2(text_of(text_col), 256)) == F.col("_cg_found"), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
