@@ -57,6 +57,16 @@ class Scratch:
             remove(self.spark, path)
 
 
+#: Bytes of rows, as a task holds them, up to which small() broadcasts.
+SMALL = 32 << 20
+
+
+def small(rows: DataFrame, each: Column | int = 128) -> DataFrame:
+    """``rows``, a written table, to be broadcast if all of it has SMALL bytes at most (``each``: of a row); else as they are, for a join by shuffle."""
+    size = rows.agg(F.sum(F.lit(each) if isinstance(each, int) else each)).first()[0] or 0
+    return F.broadcast(rows) if size <= SMALL else rows
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder by the file system that owns it."""
     jvm = spark.sparkContext._jvm

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.llm.common import Scratch, copies, text_of
+from callgauge.llm.common import Scratch, copies, small, text_of
 
 #: A run of white space, without the single space that would be replaced by itself.
 SPACE_RUN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -71,7 +71,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
     sha = F.sha2(normalised(text_col), 256)
     # joined by id; only rows whose id is found are normalised and hashed
-    marked = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_cg_id")) & F.when(F.col("_cg_of").isNotNull(), F.col("_cg_of") == sha), "left")
+    marked = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_cg_id")) & F.when(F.col("_cg_of").isNotNull(), F.col("_cg_of") == sha), "left")
     kept = marked.filter("_cg_any IS NULL").select(*docs.columns)
     if gone.filter("_cg_any = 1").isEmpty():
         return kept

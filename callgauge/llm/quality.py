@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgauge.llm.common import text_of, written
+from callgauge.llm.common import small, text_of, written
 
 SHRINK = 0.2  #: weight of the pooled covariance in a class's
 RIDGE = 0.05  #: weight of the diagonal in both, after scaling to unit variances
@@ -147,4 +147,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: st
     """The rows of ``docs`` whose score is ``least`` or more, with all their columns. An id that repeats stays if one of its texts does."""
     told = score_quality(docs, labels, least, id_col, text_col)
     bad = told.groupBy(F.col(id_col).alias("_cg_bad")).agg(F.max("predicted").alias("_cg_best")).filter("_cg_best = 0").select("_cg_bad")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_cg_bad")), "left_anti")
+    return docs.join(small(written(bad, "quality-bad"), 64), F.col(id_col).eqNullSafe(F.col("_cg_bad")), "left_anti")

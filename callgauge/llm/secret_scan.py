@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callgauge.llm.common import shared_dir, text_of, written
+from callgauge.llm.common import shared_dir, small, text_of, written
 
 
 @dataclass(frozen=True)
@@ -70,18 +70,17 @@ class BlobLedger:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def unseen(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-        """_blob, _t, _todo: every distinct text once, with the keys of the rules that it still needs."""
+        """``versions`` (distinct _blob, perhaps _t) that still need rules, with their keys in _todo."""
         wanted = F.array(*[F.lit(r.key) for r in rules])
-        blobs = versions.groupBy("_blob", "_t").agg(F.count(F.lit(1)).alias("_n")).select("_blob", "_t")
         if not self.exists():
-            return blobs.withColumn("_todo", wanted)
+            return versions.withColumn("_todo", wanted)
         seen = self.rows().select("blob", F.explode("rules").alias("_r")).groupBy("blob").agg(F.collect_set("_r").alias("_seen"))
         open_ = F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>")))
-        return blobs.join(seen, F.col("_blob") == F.col("blob"), "left").select("_blob", "_t", open_.alias("_todo")).filter("size(_todo) > 0")
+        return versions.join(seen, F.col("_blob") == F.col("blob"), "left").withColumn("_todo", open_).filter("size(_todo) > 0").drop("blob", "_seen")
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...]) -> None:
         """``versions``: _blob, _t. Appends what the ledger lacks."""
-        todo = self.unseen(versions, rules)
+        todo = self.unseen(versions.groupBy("_blob", "_t").agg(F.count(F.lit(1)).alias("_n")).select("_blob", "_t"), rules)
         tried = F.array(*[
             F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("_todo", r.key), F.regexp_extract_all("_t", F.lit(r.pattern), F.lit(0))).alias("found"))
             for r in rules
@@ -95,7 +94,8 @@ class BlobLedger:
         value = F.coalesce(*[F.when(F.col("kind") == r.kind, F.char_length(F.regexp_extract("_m", r.pattern, r.value)) >= r.least) for r in rules])
         spans = placed.filter(value).select("_blob", F.struct("kind", "version", (F.col("_end") - F.char_length("_m")).alias("start"), F.col("_end").alias("end")).alias("_f"))
         found = spans.groupBy("_blob").agg(F.collect_list("_f").alias("found"))  # of one text
-        rows = todo.select("_blob", "_todo").join(found, "_blob", "left")
+        # all blobs again, without their texts
+        rows = self.unseen(versions.select("_blob").distinct(), rules).join(found, "_blob", "left")
         rows = rows.select(F.col("_blob").alias("blob"), F.col("_todo").alias("rules"), F.coalesce("found", F.array().cast(self.FOUND)).alias("found"))
         rows.write.mode("append").option("compression", "zstd").parquet(self.path)
 
@@ -125,7 +125,7 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     """
     by_blob = _scanned(docs, ledger_path, rules, text_col)
     none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
-    held = docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("_blob")).join(by_blob, F.col("_blob") == F.col("blob"), "left")
+    held = docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("_blob")).join(small(by_blob, 128 + 64 * F.size("spans")), F.col("_blob") == F.col("blob"), "left")
     return held.select(F.col("_id").alias(id_col), F.col("_blob").alias("blob"), F.coalesce("spans", none).alias("spans"))
 
 
@@ -139,7 +139,7 @@ def redact(docs: DataFrame, text_col: str = "text", ledger_path: str | None = No
     Rows without a finding, null texts among them, are unchanged, and no row goes. Other columns stay.
     """
     by_blob = _scanned(docs, ledger_path, rules, text_col).select(F.col("blob").alias("_cg_found"), F.col("spans").alias("_cg_spans"))
-    joined = docs.join(by_blob, F.unhex(F.sha2(text_of(text_col), 256)) == F.col("_cg_found"), "left")
+    joined = docs.join(small(by_blob, 128 + 64 * F.size("_cg_spans")), F.unhex(F.sha2(text_of(text_col), 256)) == F.col("_cg_found"), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
