@@ -7,10 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.operators.verdicts import CAUSES, CORRECT, ILLEGAL, METRICS, NONEXECUTABLE, WRONG, counter, ratios
+from callgauge.operators.verdicts import CAUSES, CORRECT, COUNTERS, ILLEGAL, METRICS, NO_ENDPOINT, NO_METHOD, NONEXECUTABLE, WRONG, WRONG_ENDPOINT, WRONG_METHOD, counter, ratios
 
 SAMPLE_VERDICTS = (CORRECT, WRONG, ILLEGAL)
 
+#: Families of verdicts beside those of samples: column, and what counts as correct, wrong and illegal.
+FAMILIES = {"urls": ("url", (CORRECT, WRONG_ENDPOINT, NO_ENDPOINT)), "methods": ("method", (CORRECT, WRONG_METHOD, NO_METHOD)), "endpoints": ("endpoint", SAMPLE_VERDICTS)}
+
+#: Ratios of summed counters beside METRICS: numerator over denominator.
+SHARES = {"unexpected": "all", "unnecessary": "all", "illegal": "all", "correct_name": "expected", "correct_value": "expected", "missing": "expected"}
+
+#: Counters that samples with an error have, too: what they were expected to carry.
+OWED = ("all", "expected", "missing")
+
 
 def zero_safe(n: Column, d: Column) -> Column:
     """0 over an empty denominator."""
@@ -18,21 +27,22 @@ def zero_safe(n: Column, d: Column) -> Column:
 
 
 def verdict_ratios(samples: DataFrame) -> DataFrame:
-    """One row: sample and endpoint verdicts, counted and over all or the executable samples. ``samples``: verdict, endpoint.
+    """One row: verdicts of samples, URLs, methods and endpoints, counted and over all or the executable samples.
 
-    Without any sample the ratios over all are NULL.
+    ``samples``: verdict, endpoint and, where there, url and method. Without any sample the ratios over all are NULL.
     """
     executable = F.col("verdict") != NONEXECUTABLE
+    families = {u: held for u, held in FAMILIES.items() if held[0] in samples.columns}
     counts = samples.agg(
         F.count("verdict").alias("samples_total"),
         F.count_if(executable).alias("samples_executable"),
         F.count_if(~executable).alias("samples_nonexecutable"),
         *[F.count_if(F.col("verdict") == v).alias(f"samples_{v}") for v in SAMPLE_VERDICTS],
-        *[F.count_if(executable & (F.col("endpoint") == v)).alias(f"endpoints_{v}") for v in SAMPLE_VERDICTS],
+        *[F.count_if(executable & (F.col(column) == own)).alias(f"{u}_{v}") for u, (column, names) in families.items() for v, own in zip(SAMPLE_VERDICTS, names, strict=True)],
     )
     total, ran = F.col("samples_total"), F.col("samples_executable")
-    wrt = [F.round(F.try_divide(F.col(f"{u}_{v}"), total), 6).alias(f"{u}_{v}_wrt_total") for u in ("samples", "endpoints") for v in SAMPLE_VERDICTS]
-    wrt += [zero_safe(F.col(f"{u}_{v}"), ran).alias(f"{u}_{v}_wrt_executable") for u in ("samples", "endpoints") for v in SAMPLE_VERDICTS]
+    wrt = [F.round(F.try_divide(F.col(f"{u}_{v}"), total), 6).alias(f"{u}_{v}_wrt_total") for u in ("samples", *families) for v in SAMPLE_VERDICTS]
+    wrt += [zero_safe(F.col(f"{u}_{v}"), ran).alias(f"{u}_{v}_wrt_executable") for u in ("samples", *families) for v in SAMPLE_VERDICTS]
     return counts.select("*", F.round(F.try_divide(ran, total), 6).alias("samples_executable_wrt_total"), *wrt)
 
 
@@ -46,24 +56,55 @@ def error_breakdown(samples: DataFrame) -> DataFrame:
     )
 
 
+def settled(counts: DataFrame) -> DataFrame:
+    """``counts`` (with ``error`` and n_owed) of which samples with an error keep what was expected of them alone.
+
+    n_owed counts expected arguments with those that don't count otherwise: a sample with an error keeps a row of zeros
+    where it was expected to carry only such. Other samples have no rows of zeros.
+    """
+    ran = F.col("error").isNull()
+    of = lambda c: F.when(ran, F.col(f"n_{c}")).otherwise(F.col("n_expected") if c in OWED else F.lit(0).cast("long")).alias(f"n_{c}")
+    return counts.filter((ran & (F.col("n_all") > 0)) | (~ran & (F.col("n_owed") > 0))).select("sample_id", "location", "error", *[of(c) for c in COUNTERS])
+
+
+def _ratio(n: Column, d: Column) -> Column:
+    return F.round(F.try_divide(n.cast("double"), d.cast("double")), 6)
+
+
 def micro_metrics(counts: DataFrame) -> DataFrame:
-    """Sums of counters by location, and metrics of the sums. ``counts``: as sample_counts() gives them, executable samples only."""
-    names = [c for c in counts.columns if c.startswith("n_")]
-    return counts.groupBy("location").agg(*[F.sum(c).alias(c) for c in names]).select("location", *names, *ratios())
+    """Sums of counters by location, and metrics and shares of the sums; NULL over a denominator of 0. ``counts``: as settled() gives them.
+
+    n_x sums executable samples, n_x_total all samples; shares and metrics are over the sums of the executable ones or,
+    those that end in _total, over all. Only executable samples have anything in their numerators but for what is missing.
+    """
+    ran = F.col("error").isNull()
+    held = counts.groupBy("location").agg(
+        *[F.coalesce(F.sum(F.when(ran, F.col(f"n_{c}"))), F.lit(0)).alias(f"n_{c}") for c in COUNTERS], *[F.sum(f"n_{c}").alias(f"n_{c}_total") for c in OWED]
+    )
+    total = lambda c: F.col(f"n_{c}_total") if c in OWED else counter(c)
+    return held.select(
+        "location", *[f"n_{c}" for c in COUNTERS], *[f"n_{c}_total" for c in OWED], *ratios(), *[_ratio(total(n), total(d)).alias(f"{m}_total") for m, (n, d) in METRICS.items()],
+        *[_ratio(counter(n), counter(d)).alias(f"{n}_wrt_{d}_executable") for n, d in SHARES.items()], *[_ratio(total(n), total(d)).alias(f"{n}_wrt_{d}_total") for n, d in SHARES.items()],
+    )
 
 
 def macro_metrics(counts: DataFrame) -> DataFrame:
-    """Means of samples' metrics by location over all samples and over the executable ones. ``counts``: with ``error``.
+    """Means of samples' metrics by location over all samples and over the executable ones. ``counts``: as settled() gives them.
 
-    Every sample that has counters at a location counts in the denominator; an error, or a metric over 0, adds 0.
+    A metric's mean is over the samples that have its denominator at the location; over all samples those with an
+    error add 0 where something was expected of them. NULL where there is no such sample.
     """
     ran = F.col("error").isNull()
-    value = lambda n, d: F.coalesce(F.try_divide(counter(n).cast("double"), counter(d).cast("double")), F.lit(0.0))
-    sums = [F.sum(F.when(ran, value(n, d)).otherwise(0.0)).alias(m) for m, (n, d) in METRICS.items()]
-    held = counts.groupBy("location").agg(F.count(F.lit(1)).alias("pairs_total"), F.count_if(ran).alias("pairs_executable"), *sums)
+    has = lambda d: F.count_if(ran & (counter(d) > 0))
+    names = sorted({d for _, d in METRICS.values()})
+    held = counts.groupBy("location").agg(
+        F.count(F.lit(1)).alias("pairs_total"), F.count_if(ran).alias("pairs_executable"), *[has(d).alias(f"_ran_{d}") for d in names],
+        *[(has(d) + (F.count_if(~ran) if d in OWED else F.lit(0))).alias(f"_of_{d}") for d in names],
+        *[F.coalesce(F.sum(F.when(ran, F.try_divide(counter(n).cast("double"), counter(d).cast("double")))), F.lit(0.0)).alias(m) for m, (n, d) in METRICS.items()],
+    )
     return held.select(
-        "location", "pairs_total", "pairs_executable", *[F.round(F.col(m) / F.col("pairs_total"), 6).alias(f"{m}_total") for m in METRICS],
-        *[zero_safe(F.col(m), F.col("pairs_executable")).alias(f"{m}_executable") for m in METRICS],
+        "location", "pairs_total", "pairs_executable", *[_ratio(F.col(m), F.col(f"_of_{d}")).alias(f"{m}_total") for m, (_, d) in METRICS.items()],
+        *[_ratio(F.col(m), F.col(f"_ran_{d}")).alias(f"{m}_executable") for m, (_, d) in METRICS.items()],
     )
 
 

@@ -11,7 +11,7 @@ CATALOG_ROWS = 200_000
 
 def _small(df: DataFrame, rows: int = CATALOG_ROWS) -> DataFrame:
     """A catalog side, broadcast if it is small by count."""
-    return F.broadcast(df) if len(df.take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -75,10 +75,11 @@ def best_template(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def path_parameters(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, name, value of the parameters of ``matched`` (path, template), for templates of whole-segment parameters."""
-    pairs = F.arrays_zip(segments(F.col("template")).alias("t"), segments(F.col("path")).alias("v"))
-    held = matched.select(*keys, F.explode(F.filter(pairs, lambda x: is_parameter(x["t"]))).alias("_x"))
-    return held.select(*keys, F.regexp_extract("_x.t", r"^\{(.+)\}$", 1).alias("name"), F.col("_x.v").alias("value"))
+    """keys, name, value of the parameters of ``matched`` (path, template), whole segments or parts of one."""
+    pattern = F.concat(F.lit(r"^\Q"), F.regexp_replace("template", r"\{[^{}]+\}", r"\\E([^/?&]+)\\Q"), F.lit(r"\E$"))
+    names = F.regexp_extract_all("template", F.lit(r"\{([^{}]+)\}"), F.lit(1))
+    held = matched.select(*keys, "path", pattern.alias("_pattern"), F.posexplode(names).alias("_i", "name"))
+    return held.select(*keys, "name", F.expr("regexp_extract(path, _pattern, _i + 1)").alias("value"))
 
 
 def action_suffix(path: Column) -> Column:

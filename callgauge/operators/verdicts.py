@@ -32,9 +32,13 @@ def compare_arguments(expected: DataFrame, actual: DataFrame, legal: DataFrame,
     return e.join(a, keys, "full_outer").join(allowed, keys, "left").select(*keys, "expected", "actual", verdict.alias("verdict"))
 
 
+def is_special(location: str = "headers", names: tuple = SPECIAL_HEADERS) -> Column:
+    """Arguments that every request may carry, by their exact spelling."""
+    return (F.col("location") == location) & F.col("key").isin(*names)
+
+
 def without_special(args: DataFrame, location: str = "headers", names: tuple = SPECIAL_HEADERS) -> DataFrame:
-    """Arguments but those that every request may carry, by their exact spelling."""
-    return args.filter(~((F.col("location") == location) & F.col("key").isin(*names)))
+    return args.filter(~is_special(location, names))
 
 
 def counters(verdict: Column) -> dict[str, Column]:
@@ -52,6 +56,13 @@ def sample_counts(args: DataFrame) -> DataFrame:
     return grouped.agg(*[c.alias(f"n_{name}") for name, c in counters(F.col("verdict")).items()]).withColumn("location", F.coalesce("location", F.lit("all")))
 
 
+def sample_counts_and_owed(args: DataFrame, special: Column) -> DataFrame:
+    """sample_counts() of the arguments that aren't ``special``, and n_owed: the expected ones, special ones among them."""
+    held = args.withColumn("_s", special).groupingSets([["sample_id", "location"], ["sample_id"]], "sample_id", "location")
+    counts = counters(F.when(~F.col("_s"), F.col("verdict")))
+    return held.agg(*[c.alias(f"n_{name}") for name, c in counts.items()], counters(F.col("verdict"))["expected"].alias("n_owed")).withColumn("location", F.coalesce("location", F.lit("all")))
+
+
 #: Metric: numerator and denominator among the counters ("retrieved" is correct_name and unexpected).
 METRICS = {
     "precision": ("correct_name", "retrieved"), "recall": ("correct_name", "expected"), "jaccard": ("correct_name", "all"),

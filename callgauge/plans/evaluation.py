@@ -40,36 +40,37 @@ def sample_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, error, endpoint."""
+    """sample_id, error, url, method, endpoint."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     rank = F.substring("o_orderpriority", 1, 1)
     url = F.when(rank.isin("1", "2", "3"), verdicts.CORRECT).when(rank == "4", verdicts.WRONG_ENDPOINT).otherwise(verdicts.NO_ENDPOINT)
     method = F.when(F.col("o_orderstatus").isin("F", "O"), verdicts.CORRECT).when(F.col("o_orderkey") % 3 == 0, verdicts.NO_METHOD).otherwise(verdicts.WRONG_METHOD)
     causes = F.array(*[F.lit(c) for c in verdicts.CAUSES])
     error = F.when(F.col("o_orderkey") % 13 == 0, F.get(causes, (F.col("o_orderkey") % 5).cast("int")))
-    return orders.select(F.col("o_orderkey").alias("sample_id"), error.alias("error"), verdicts.endpoint_verdict(url, method).alias("endpoint"))
+    return orders.select(F.col("o_orderkey").alias("sample_id"), error.alias("error"), url.alias("url"), method.alias("method"), verdicts.endpoint_verdict(url, method).alias("endpoint"))
 
 
 def sample_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = sample_arg_counts(spark, sf_dir).filter("location = 'all'")
     verdict = verdicts.sample_verdict(F.col("error"), F.col("endpoint"), F.col("n_all"), F.col("n_correct_value"), F.col("n_illegal"))
-    return endpoints(spark, sf_dir).join(counts, "sample_id", "left").select("sample_id", "error", "endpoint", verdict.alias("verdict"))
+    return endpoints(spark, sf_dir).join(counts, "sample_id", "left").select("sample_id", "error", "url", "method", "endpoint", verdict.alias("verdict"))
 
 
 def sample_verdict_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.verdict_ratios(sample_verdicts(spark, sf_dir))
 
 
-def counts_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_arg_counts(spark, sf_dir).join(endpoints(spark, sf_dir).select("sample_id", "error"), "sample_id")
+def settled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = verdicts.sample_counts_and_owed(arguments(spark, sf_dir), verdicts.is_special("N", (7,)))
+    return metrics.settled(counts.join(endpoints(spark, sf_dir).select("sample_id", "error"), "sample_id"))
 
 
 def micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.micro_metrics(counts_with_errors(spark, sf_dir).filter("error IS NULL"))
+    return metrics.micro_metrics(settled_counts(spark, sf_dir))
 
 
 def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.macro_metrics(counts_with_errors(spark, sf_dir))
+    return metrics.macro_metrics(settled_counts(spark, sf_dir))
 
 
 def metric_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +109,28 @@ counts AS (SELECT sample_id, coalesce(location, 'all') AS location, count(*) AS
              count(*) FILTER (verdict = 'unnecessary_key') AS n_unnecessary, count(*) FILTER (verdict = 'illegal_key') AS n_illegal
            FROM args WHERE NOT (location = 'N' AND "key" = 7) GROUP BY GROUPING SETS ((sample_id, location), (sample_id)))"""
 ENDPOINTS = """,
-endpoints AS (SELECT o_orderkey AS sample_id,
+ends AS (SELECT o_orderkey AS sample_id,
     CASE WHEN o_orderkey % 13 = 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'unsatisfiable' WHEN 2 THEN 'no_request' WHEN 3 THEN 'incomplete_request' ELSE 'runtime_error' END END AS error,
-    CASE WHEN o_orderpriority[1] IN ('1', '2', '3') AND o_orderstatus IN ('F', 'O') THEN 'correct'
-         WHEN o_orderpriority[1] NOT IN ('1', '2', '3', '4') OR (o_orderstatus NOT IN ('F', 'O') AND o_orderkey % 3 = 0) THEN 'illegal' ELSE 'wrong' END AS endpoint
-  FROM orders)"""
+    CASE WHEN o_orderpriority[1] IN ('1', '2', '3') THEN 'correct' WHEN o_orderpriority[1] = '4' THEN 'wrong_endpoint' ELSE 'nonexistent_endpoint' END AS url,
+    CASE WHEN o_orderstatus IN ('F', 'O') THEN 'correct' WHEN o_orderkey % 3 = 0 THEN 'nonexistent_method' ELSE 'wrong_method' END AS method FROM orders),
+endpoints AS (SELECT *, CASE WHEN url = 'correct' AND method = 'correct' THEN 'correct' WHEN url = 'nonexistent_endpoint' OR method = 'nonexistent_method' THEN 'illegal' ELSE 'wrong' END AS endpoint FROM ends)"""
 VERDICTS = COUNTS + ENDPOINTS + """,
-verdicts AS (SELECT e.sample_id, error, endpoint,
+verdicts AS (SELECT e.sample_id, error, url, method, endpoint,
     CASE WHEN error IS NOT NULL THEN 'nonexecutable' WHEN endpoint = 'correct' AND coalesce(n_correct_value, 0) = coalesce(n_all, 0) THEN 'correct'
          WHEN endpoint = 'illegal' OR coalesce(n_illegal, 0) > 0 THEN 'illegal' ELSE 'wrong' END AS verdict
   FROM endpoints e LEFT JOIN (SELECT * FROM counts WHERE location = 'all') c ON e.sample_id = c.sample_id)"""
+#: Of samples with an error only the expected arguments count, also where only special ones are expected.
+SETTLED = ARGS + ENDPOINTS + """,
+facts AS (SELECT sample_id, location, verdict, (location = 'N' AND "key" = 7) AS special, error FROM args JOIN endpoints USING (sample_id)),
+counted AS (SELECT sample_id, location, error,
+    CASE WHEN error IS NULL THEN verdict WHEN verdict IN ('unnecessary_key', 'illegal_key') THEN NULL ELSE 'missing_key' END AS verdict, special FROM facts),
+settled AS (SELECT sample_id, coalesce(location, 'all') AS location, any_value(error) AS error, count(verdict) FILTER (NOT special) AS n_all,
+    count(*) FILTER (NOT special AND verdict IN ('correct', 'incorrect_value', 'missing_key')) AS n_expected,
+    count(*) FILTER (NOT special AND verdict IN ('unnecessary_key', 'illegal_key')) AS n_unexpected, count(*) FILTER (NOT special AND verdict = 'missing_key') AS n_missing,
+    count(*) FILTER (NOT special AND verdict IN ('correct', 'incorrect_value')) AS n_correct_name, count(*) FILTER (NOT special AND verdict = 'correct') AS n_correct_value,
+    count(*) FILTER (NOT special AND verdict = 'unnecessary_key') AS n_unnecessary, count(*) FILTER (NOT special AND verdict = 'illegal_key') AS n_illegal
+  FROM counted GROUP BY GROUPING SETS ((sample_id, location), (sample_id))
+  HAVING CASE WHEN any_value(error) IS NULL THEN count(verdict) FILTER (NOT special) > 0 ELSE count(verdict) > 0 END)"""
 
 
 def _ratio(n: str, d: str) -> str:
@@ -131,6 +144,26 @@ def _counter(name: str) -> str:
 _METRICS = {m: (_counter(n), _counter(d)) for m, (n, d) in verdicts.METRICS.items()}
 _RATIOS = ", ".join(f"{_ratio(n, d)} AS {m}" for m, (n, d) in _METRICS.items())
 _NAMES = [f"n_{c}" for c in verdicts.COUNTERS]
+_OWED = ("n_all", "n_expected", "n_missing")
+
+
+def _total(counter: str) -> str:
+    return f"{counter}_total" if counter in _OWED else counter
+
+
+_SHARES = [(f"n_{n}", f"n_{d}", f"{n}_wrt_{d}") for n, d in (("unexpected", "all"), ("unnecessary", "all"), ("illegal", "all"), ("correct_name", "expected"), ("correct_value", "expected"), ("missing", "expected"))]
+MICRO = (
+    f"WITH {SETTLED}, m AS (SELECT location, " + ", ".join(f"CAST(coalesce(sum({c}) FILTER (error IS NULL), 0) AS BIGINT) AS {c}" for c in _NAMES) + ", " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_total" for c in _OWED)
+    + f" FROM settled GROUP BY location) SELECT *, {_RATIOS}, " + ", ".join(f"{_ratio(_total(n), _total(d))} AS {m}_total" for m, (n, d) in _METRICS.items())
+    + ", " + ", ".join(f"{_ratio(n, d)} AS {name}_executable, {_ratio(_total(n), _total(d))} AS {name}_total" for n, d, name in _SHARES) + " FROM m"
+)
+MACRO = (
+    f"WITH {SETTLED}, m AS (SELECT location, count(*) AS pairs_total, count(*) FILTER (error IS NULL) AS pairs_executable, "
+    + ", ".join(f"coalesce(sum(CAST({n} AS DOUBLE) / nullif({d}, 0)) FILTER (error IS NULL), 0) AS {m}, count(*) FILTER (error IS NULL AND {d} > 0) AS {m}_ran, count(*) FILTER (CASE WHEN error IS NULL THEN {d} > 0 ELSE {str(d in _OWED).lower()} END) AS {m}_of" for m, (n, d) in _METRICS.items())
+    + " FROM settled GROUP BY location) SELECT location, pairs_total, pairs_executable, "
+    + ", ".join(f"round({m} / nullif({m}_of, 0), 6) AS {m}_total, round({m} / nullif({m}_ran, 0), 6) AS {m}_executable" for m in _METRICS) + " FROM m"
+)
+_FAMILIES = {"urls": ("url", ("correct", "wrong_endpoint", "nonexistent_endpoint")), "methods": ("method", ("correct", "wrong_method", "nonexistent_method")), "endpoints": ("endpoint", metrics.SAMPLE_VERDICTS)}
 
 SQL = {
     "arg_verdicts": f"WITH {ARGS} SELECT * FROM args",
@@ -138,16 +171,13 @@ SQL = {
     "sample_metrics": f"WITH {COUNTS} SELECT sample_id, location, {_RATIOS} FROM counts",
     "sample_verdicts": f"WITH {VERDICTS} SELECT * FROM verdicts",
     "sample_verdict_ratios": f"WITH {VERDICTS}, c AS (SELECT count(*) AS samples_total, count(*) FILTER (verdict <> 'nonexecutable') AS samples_executable, count(*) FILTER (verdict = 'nonexecutable') AS samples_nonexecutable, "
-    + ", ".join([f"count(*) FILTER (verdict = '{v}') AS samples_{v}, count(*) FILTER (verdict <> 'nonexecutable' AND endpoint = '{v}') AS endpoints_{v}" for v in metrics.SAMPLE_VERDICTS])
+    + ", ".join([f"count(*) FILTER (verdict = '{v}') AS samples_{v}" for v in metrics.SAMPLE_VERDICTS])
+    + ", " + ", ".join(f"count(*) FILTER (verdict <> 'nonexecutable' AND {column} = '{own}') AS {u}_{v}" for u, (column, names) in _FAMILIES.items() for v, own in zip(metrics.SAMPLE_VERDICTS, names, strict=True))
     + " FROM verdicts) SELECT *, round(samples_executable / nullif(samples_total, 0), 6) AS samples_executable_wrt_total, "
-    + ", ".join([f"round({u}_{v} / nullif(samples_total, 0), 6) AS {u}_{v}_wrt_total, CASE WHEN samples_executable > 0 THEN round({u}_{v} / samples_executable, 6) ELSE 0.0 END AS {u}_{v}_wrt_executable" for u in ("samples", "endpoints") for v in metrics.SAMPLE_VERDICTS])
+    + ", ".join([f"round({u}_{v} / nullif(samples_total, 0), 6) AS {u}_{v}_wrt_total, CASE WHEN samples_executable > 0 THEN round({u}_{v} / samples_executable, 6) ELSE 0.0 END AS {u}_{v}_wrt_executable" for u in ("samples", *_FAMILIES) for v in metrics.SAMPLE_VERDICTS])
     + " FROM c",
-    "micro_metrics": f"WITH {COUNTS}{ENDPOINTS}, m AS (SELECT location, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _NAMES)
-    + f" FROM counts JOIN endpoints USING (sample_id) WHERE error IS NULL GROUP BY location) SELECT *, {_RATIOS} FROM m",
-    "macro_metrics": f"WITH {COUNTS}{ENDPOINTS}, m AS (SELECT location, count(*) AS pairs_total, count(*) FILTER (error IS NULL) AS pairs_executable, "
-    + ", ".join(f"sum(CASE WHEN error IS NULL THEN coalesce(CAST({n} AS DOUBLE) / nullif({d}, 0), 0) ELSE 0 END) AS {m}" for m, (n, d) in _METRICS.items())
-    + " FROM counts JOIN endpoints USING (sample_id) GROUP BY location) SELECT location, pairs_total, pairs_executable, "
-    + ", ".join(f"round({m} / pairs_total, 6) AS {m}_total, CASE WHEN pairs_executable > 0 THEN round({m} / pairs_executable, 6) ELSE 0.0 END AS {m}_executable" for m in _METRICS) + " FROM m",
+    "micro_metrics": MICRO,
+    "macro_metrics": MACRO,
     "metric_invariants": f"WITH {COUNTS} " + " UNION ALL ".join(f"SELECT '{name}' AS law, count(*) AS checked, count(*) FILTER (NOT ({law})) AS broken FROM counts" for name, law in metrics.LAWS.items()),
     "error_breakdown": "WITH s AS (SELECT CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'unsatisfiable' WHEN 2 THEN 'no_request' WHEN 3 THEN 'incomplete_request' ELSE 'runtime_error' END END AS error FROM events), "
     + "c AS (SELECT count(*) AS samples, count(error) AS errors_total, " + ", ".join(f"count(*) FILTER (error = '{c}') AS errors_{c}" for c in verdicts.CAUSES) + " FROM s) SELECT *, "

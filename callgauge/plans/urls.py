@@ -41,7 +41,8 @@ def url_segment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_path_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.path_parameters(url_template_match(spark, sf_dir).filter("template <> '/{lang}/{id}.html'"), ["page_id"])
+    """Of every template that a path fits, parameters inside a segment among them."""
+    return urls.path_parameters(matches(spark, sf_dir), ["page_id", "template"])
 
 
 def url_query_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +96,10 @@ SQL = {
         SELECT page_id, url, server, CASE WHEN server IS NOT NULL THEN substr(url, length(server) + 1) END AS rest FROM pages LEFT JOIN b USING (page_id)""",
     "url_template_match": f"WITH {BEST} SELECT page_id, path, ordinal, template, n_params FROM b",
     "url_segment_match": f"WITH {ROUTED} SELECT p.page_id, p.method, g.template FROM p LEFT JOIN g USING (page_id)",
-    "url_path_params": rf"""WITH {BEST}, z AS (SELECT page_id, unnest(range(1, len(string_split(template, '/')) + 1)) AS i, string_split(template, '/') AS ts, string_split(path, '/') AS ps FROM b WHERE template <> '/{{lang}}/{{id}}.html')
-        SELECT page_id, regexp_extract(ts[i], '^\{{(.+)\}}$', 1) AS name, ps[i] AS value FROM z WHERE regexp_full_match(ts[i], '\{{[^{{}}]+\}}')""",
+    "url_path_params": rf"""WITH {MATCHES}, z AS (SELECT page_id, path, template, regexp_extract_all(template, '\{{([^{{}}]+)\}}', 1) AS names,
+            replace(regexp_replace(template, '\{{[^{{}}]+\}}', '([^/?&]+)', 'g'), '.html', '\.html') AS pattern FROM m),
+        x AS (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM z)
+        SELECT page_id, template, names[i] AS name, CASE i WHEN 1 THEN regexp_extract(path, '^' || pattern || '$', 1) WHEN 2 THEN regexp_extract(path, '^' || pattern || '$', 2) ELSE regexp_extract(path, '^' || pattern || '$', 3) END AS value FROM x""",
     "url_query_params": r"""WITH x AS (SELECT page_id, regexp_extract(regexp_extract(url, '^([^#]*)', 1), '\?(.*)$', 1) AS q FROM pages),
         e AS (SELECT page_id, unnest(string_split(q, '&')) AS kv, unnest(range(len(string_split(q, '&')))) AS i FROM x WHERE q <> '')
         SELECT page_id, split_part(kv, '=', 1) AS name, max_by(CASE WHEN regexp_extract(kv, '=(.*)$', 1) = '' THEN 'true' ELSE regexp_extract(kv, '=(.*)$', 1) END, i) AS value FROM e WHERE kv <> '' GROUP BY 1, 2""",
