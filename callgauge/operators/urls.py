@@ -19,18 +19,19 @@ def _first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(at)).filter("_rank = 1").drop("_rank")
 
 
-def strip_server(urls: DataFrame, servers: DataFrame, keys: list[str]) -> DataFrame:
+def strip_server(urls: DataFrame, servers: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """``urls`` (keys, url) with server and rest: the first non-empty server, by ordinal, that the URL starts with.
 
     ``servers``: ordinal, server. URLs without one keep NULLs. The theta join is over origins: scheme and host are
-    an equality, so only servers of the same host are tried.
+    an equality, so only servers of the same host are tried. ``by``: columns of both sides that have to be equal, too.
     """
     host = lambda c: F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    listed = _small(servers.filter("server <> ''").select("ordinal", "server", host("server").alias("_h")))
-    u = urls.select(*keys, "url", host("url").alias("_host"))
-    hits = u.join(listed, (F.col("_host") == F.col("_h")) & F.col("url").startswith(F.col("server")))
+    listed = _small(servers.filter("server <> ''").select(*[F.col(c).alias(f"_{c}") for c in by], "ordinal", "server", host("server").alias("_h")))
+    u = urls.select(*keys, *by, "url", host("url").alias("_host"))
+    same = [F.col(c) == F.col(f"_{c}") for c in by]
+    hits = u.join(listed, [F.col("_host") == F.col("_h"), F.col("url").startswith(F.col("server")), *same])
     best = hits.groupBy(*keys).agg(F.min_by("server", "ordinal").alias("server"))
-    return u.join(best, keys, "left").select(*keys, "url", "server", F.when(F.col("server").isNotNull(), F.expr("substring(url, length(server) + 1)")).alias("rest"))
+    return u.join(best, keys, "left").select(*keys, *by, "url", "server", F.when(F.col("server").isNotNull(), F.expr("substring(url, length(server) + 1)")).alias("rest"))
 
 
 def path_part(url: Column) -> Column:
@@ -51,22 +52,26 @@ def is_parameter(segment: Column) -> Column:
     return segment.rlike(r"^\{[^{}]+\}$")
 
 
-def match_templates(paths: DataFrame, templates: DataFrame, keys: list[str]) -> DataFrame:
+def match_templates(paths: DataFrame, templates: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """All templates that each path fits whole: keys, path, ordinal, template, n_params.
 
     ``templates``: ordinal, template; a parameter ``{x}`` stands for one or more characters but ``/ ? &``. Templates
-    whose parameters are whole segments meet paths by their number of segments and are compared segment by
-    segment; the few others by a pattern, also within their number of segments.
+    meet paths by their number of segments and their first segment, those that begin with a parameter by the number
+    alone. Whole-segment parameters are compared segment by segment, others by a pattern. ``by``: columns of both sides
+    that have to be equal, too.
     """
     t = templates.select(
-        "ordinal", "template", F.regexp_count("template", F.lit(r"\{[^{}]+\}")).alias("n_params"), segments(F.col("template")).alias("_ts"), F.size(segments(F.col("template"))).alias("_n"),
+        *[F.col(c).alias(f"_{c}") for c in by], "ordinal", "template", F.regexp_count("template", F.lit(r"\{[^{}]+\}")).alias("n_params"), segments(F.col("template")).alias("_ts"), F.size(segments(F.col("template"))).alias("_n"),
         F.concat(F.lit(r"^\Q"), F.regexp_replace("template", r"\{[^{}]+\}", r"\\E[^/?&]+\\Q"), F.lit(r"\E$")).alias("_pattern"),
-    )
-    p = paths.select(*keys, "path", segments(F.col("path")).alias("_ps"), F.size(segments(F.col("path"))).alias("_m"))
+    ).withColumn("_first", F.get("_ts", F.lit(1)))
+    p = paths.select(*keys, *by, "path", segments(F.col("path")).alias("_ps"), F.size(segments(F.col("path"))).alias("_m"))
     whole = F.forall("_ts", lambda s: is_parameter(s) | ~s.contains("{"))
     alike = F.forall(F.zip_with("_ts", "_ps", lambda s, v: F.when(is_parameter(s), v.rlike("^[^/?&]+$")).otherwise(s == v)), lambda ok: ok)
     fits = F.when(whole, alike).otherwise(F.expr("path rlike _pattern"))
-    return p.join(_small(t), (F.col("_m") == F.col("_n")) & fits).select(*keys, "path", "ordinal", "template", "n_params")
+    same = [F.col("_m") == F.col("_n"), fits, *[F.col(c) == F.col(f"_{c}") for c in by]]
+    open_ = F.coalesce(F.col("_first").contains("{"), F.lit(True))
+    fixed = p.join(_small(t.filter(~open_)), [F.get("_ps", F.lit(1)) == F.col("_first"), *same])
+    return fixed.unionByName(p.join(_small(t.filter(open_)), same)).select(*keys, *by, "path", "ordinal", "template", "n_params")
 
 
 def best_template(matches: DataFrame, keys: list[str]) -> DataFrame:

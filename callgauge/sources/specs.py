@@ -42,14 +42,14 @@ def each_spec(specs: DataFrame, rows: Callable[[dict], list[tuple]], schema: str
 
 
 def operations(specs: DataFrame) -> DataFrame:
-    """spec, path, method, operation_id, summary, description, n_params, has_body, item (the prepared operation as JSON), error."""
+    """spec, path, method, operation_id, summary, description, n_params, has_body, item (the prepared operation as JSON), ordinal (as declared), error."""
     def rows(spec: dict) -> list[tuple]:
         return [
-            (p, m, o.get("operationId"), o.get("summary"), o.get("description"), len(o.get("parameters") or []), "requestBody" in o, json.dumps(o, default=str))
-            for p, m, o in openapi.operations(openapi.prepared(spec))
+            (p, m, o.get("operationId"), o.get("summary"), o.get("description"), len(o.get("parameters") or []), "requestBody" in o, json.dumps(o, default=str), i)
+            for i, (p, m, o) in enumerate(openapi.operations(openapi.prepared(spec)))
         ]
 
-    return each_spec(specs, rows, "path string, method string, operation_id string, summary string, description string, n_params int, has_body boolean, item string")
+    return each_spec(specs, rows, "path string, method string, operation_id string, summary string, description string, n_params int, has_body boolean, item string, ordinal int")
 
 
 def servers(specs: DataFrame) -> DataFrame:

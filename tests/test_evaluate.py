@@ -61,3 +61,37 @@ def test_masks(spark):
     got = [r["m"] for r in df.select(constraints.masked(rules, F.col("t"), F.col("n"), F.col("s"), 2, 3).alias("m")).collect()]
     assert got == [[0.1, 0.9, 0.5, 0.2], [0.1, low, low, low], [low, low, low, 0.2]]
     assert constraints.allowed(rules, [(True, 2)], "a<", [(0, "1")], 1, -1.0) == ([], True)
+
+
+def test_each_sample_is_held_against_its_own_api(spark, sf_dir):
+    """Two descriptions share a path and a host: other legal arguments, and of equal templates the first declared."""
+    facts, samples = evaluate.evaluated(*evaluate.tasks(spark), evaluate.descriptions(spark))
+    got = {(r["sample_id"], r["location"], r["key"]): r["verdict"] for r in facts.collect()}
+    assert got[8, "params", "page"] == "unnecessary_key" and got[8, "params", "tags"] == "illegal_key" and got[8, "params", "$limit"] == "correct"
+    assert got[1, "params", "page"] == "illegal_key" and got[1, "params", "tags"] == "unnecessary_key"
+    assert got[9, "path_params", "a"] == "correct" and (9, "path_params", "b") not in got
+    micro = {r["location"]: r for r in evaluate.metrics.micro_metrics(evaluate.settled(facts, samples)).collect()}
+    assert micro["params"]["n_illegal"] == 2 and micro["params"]["n_all_total"] > micro["params"]["n_all"]
+
+
+def test_samples_with_an_error_keep_what_was_expected(spark):
+    """Only expected arguments count; a special header alone leaves a row of zeros, which an executable sample hasn't."""
+    from callgauge.operators import metrics, verdicts
+
+    rows = [
+        (1, "headers", "Accept", "correct", None), (1, "params", "a", "correct", None), (2, "headers", "Accept", "missing_key", "timeout"), (2, "params", "a", "missing_key", "timeout"),
+        (2, "params", "b", "illegal_key", "timeout"), (3, "headers", "X", "correct", None), (3, "headers", "Y", "missing_key", None),
+    ]
+    args = spark.createDataFrame(rows, "sample_id int, location string, key string, verdict string, error string")
+    counts = verdicts.sample_counts_and_owed(args.drop("error"), verdicts.is_special()).join(args.select("sample_id", "error").distinct(), "sample_id")
+    held = metrics.settled(counts)
+    got = {(r["sample_id"], r["location"]): (r["n_all"], r["n_expected"], r["n_missing"], r["n_illegal"]) for r in held.collect()}
+    assert got == {(1, "params"): (1, 1, 0, 0), (1, "all"): (1, 1, 0, 0), (2, "headers"): (0, 0, 0, 0), (2, "params"): (1, 1, 1, 0), (2, "all"): (1, 1, 1, 0), (3, "headers"): (2, 2, 1, 0), (3, "all"): (2, 2, 1, 0)}
+    macro = {r["location"]: r for r in metrics.macro_metrics(held).collect()}
+    assert macro["headers"]["recall_executable"] == 0.5 and macro["headers"]["recall_total"] == 0.25  # the zeros count in the mean over all
+    assert macro["params"]["recall_executable"] == 1.0 and macro["params"]["recall_total"] == 0.5 and macro["params"]["precision_total"] == 1.0
+
+
+def test_a_second_name_of_an_endpoint(spark):
+    df = spark.createDataFrame([("/v1/emoticons", ["/v1/emotes"]), ("/v1/emoticons", ["/v1/x"]), ("/v1/emotes", ["/v1/emoticons"]), (None, [])], "w string, c array<string>")
+    assert [r["a"] for r in df.select(evaluate._aliases(F.col("w"), F.col("c")).alias("a")).collect()] == [True, False, False, False]

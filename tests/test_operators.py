@@ -218,3 +218,22 @@ def test_tasks_and_index(spark, tmp_path):
     (tmp_path / "0007_config.json").write_text(json.dumps({"url": "x", "method": "get", "params": {"a": 1}}))
     (tmp_path / "readme.txt").write_text("x")
     assert [(r["idx"], r["params"]) for r in files.read_configs(spark, f"file://{tmp_path}").collect()] == [(7, '{"a":1}')]
+
+
+def test_parameters_inside_a_segment(spark):
+    """An action behind a parameter, two parameters in one segment, and pattern characters in a template."""
+    m = spark.createDataFrame(
+        [(1, "/v4/sheets/s1/values/A1:append", "/v4/sheets/{id}/values/{range}:append"), (2, "/a/x.y.json", "/a/{n}.{k}.json"), (3, "/a/b+c", "/a/{z}+c"), (4, "/a/b", "/a/b")], "id int, path string, template string"
+    )
+    got = {(r["id"], r["name"]): r["value"] for r in urls.path_parameters(m, ["id"]).collect()}
+    assert got == {(1, "id"): "s1", (1, "range"): "A1", (2, "n"): "x", (2, "k"): "y", (3, "z"): "b"}
+
+
+def test_templates_of_one_api_alone(spark):
+    paths = spark.createDataFrame([(1, "p", "/a/b"), (2, "q", "/a/b")], "id int, api string, path string")
+    templates = spark.createDataFrame([("p", 0, "/a/{x}"), ("q", 0, "/{y}/b")], "api string, ordinal int, template string")
+    got = {r["id"]: r["template"] for r in urls.match_templates(paths, templates, ["id"], ("api",)).collect()}
+    assert got == {1: "/a/{x}", 2: "/{y}/b"}
+    u = spark.createDataFrame([(1, "p", "https://h/v1/a"), (2, "q", "https://h/v1/a")], "id int, api string, url string")
+    s = spark.createDataFrame([("p", 0, "https://h"), ("q", 0, "https://h/v1")], "api string, ordinal int, server string")
+    assert {r["id"]: r["rest"] for r in urls.strip_server(u, s, ["id"], ("api",)).collect()} == {1: "/v1/a", 2: "/a"}
