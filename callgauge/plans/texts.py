@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callgauge.functions import text as fn
 from callgauge.operators import retrieval
 from callgauge.plans.tables import table
+from callgauge.sources.files import kept
 
 SYNONYMS = {"the": ["article", "definite article"], "and": ["conjunction"], "that": ["which"], "is": ["be", "to be"]}
 RULES = [("the", "/en/", 0.25), ("and", "/fr/", 0.5), ("that", ".html", 0.125), ("for", "/en/1", 0.75), ("is", "/", 0.0625)]
@@ -49,17 +50,16 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.idf(doc_frequency(spark, sf_dir), docs(spark, sf_dir).count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.cfidf_scores(docs(spark, sf_dir), items(spark, sf_dir), "doc_id", "item_id", F.col("text"), F.col("text"), F.col("source"))
+def best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.cfidf_topk(docs(spark, sf_dir), items(spark, sf_dir), "doc_id", "item_id", F.col("text"), F.col("text"), k, F.col("source"))
 
 
 def cfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top(scores(spark, sf_dir), "item_id", K, F.col("score").desc(), F.col("doc_id"))
+    return best(spark, sf_dir, K)
 
 
 def trigram_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.containment(docs(spark, sf_dir), items(spark, sf_dir), "doc_id", "item_id", F.col("text"), F.col("text"))
-    return retrieval.top(found, "item_id", K, F.col("containment").desc(), F.col("doc_id"))
+    return retrieval.containment_topk(docs(spark, sf_dir), items(spark, sf_dir), "doc_id", "item_id", F.col("text"), F.col("text"), K)
 
 
 def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = retrieval.top(scores(spark, sf_dir), "item_id", max(K, retrieval.CANDIDATES), F.col("score").desc(), F.col("doc_id")).drop("rank")
+    wide = kept(best(spark, sf_dir, max(K, retrieval.CANDIDATES)).drop("rank"), "candidates")
     again = retrieval.containment(docs(spark, sf_dir), items(spark, sf_dir), "doc_id", "item_id", F.col("text"), F.col("text"), wide.select("item_id", "doc_id"))
     return wide.join(again, ["item_id", "doc_id"], "left").withColumn("containment", F.coalesce("containment", F.lit(0.0)))
 
