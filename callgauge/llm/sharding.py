@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgauge.llm.common import Scratch, shared_dir, text_of
+from callgauge.llm.common import Scratch, shared_dir, small, text_of
 
 BUCKET_BYTES = 8 << 20
 TASKS = 100_000  #: partitions that buckets are dealt over at most; with more buckets a task takes several, one after another
@@ -41,7 +41,8 @@ def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, seed:
             record = record.join(hot, "_h", "left_anti").unionByName(scratch.written(apart, "shard-apart"))
         record = record.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
         before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        places = record.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))  # a row a bucket
+        # a row a bucket, up to TASKS of them small enough to broadcast: a join by shuffle would move the buckets again
+        places = small(scratch.written(record.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from")), "shard-places"), 64)
         # in hash order first: a task that runs again shuffles the same array
         by_hash = lambda a, b: F.when(a["_h"] < b["_h"], -1).when(a["_h"] > b["_h"], 1).otherwise(0)
         dealt = record.select("_b", F.struct("_h", "_r").alias("_x"))
