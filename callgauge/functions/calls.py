@@ -26,7 +26,8 @@ class Reader:
 
     def __init__(self, text: str, variables: dict):
         self.variables, self.tokens, at = variables, [], 0
-        while at < len(text) and not text[at:].isspace():
+        end = len(text.rstrip())
+        while at < end:
             m = _TOKEN.match(text, at)
             if not m:
                 raise ValueError(f"unexpected {text[at : at + 10]!r}")

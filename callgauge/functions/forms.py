@@ -10,8 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Places of a list that a body may leave out at once: one line must not fill a worker's memory.
+GAP = 10_000
+
+
 def decoded(text: str) -> dict:
-    """``a[]`` appends, ``a[b][0]`` nests; a numeric next key makes a list."""
+    """``a[]`` appends, ``a[b][0]`` nests; a numeric next key makes a list. ValueError for an index far behind its list's end."""
     from urllib.parse import unquote
 
     root: dict = {}
@@ -25,6 +29,8 @@ def decoded(text: str) -> dict:
             fresh = value if last else ([] if keys[i + 1] == "" or keys[i + 1].isdigit() else {})
             if isinstance(at, list):
                 k = len(at) if key == "" or not key.isdigit() else int(key)
+                if k > len(at) + GAP:
+                    raise ValueError(f"index {k} of a list of {len(at)}")
                 while len(at) <= k:
                     at.append(None)
             else:
@@ -37,18 +43,21 @@ def decoded(text: str) -> dict:
 
 
 def body_json(body: Column) -> Column:
-    """A request's body as JSON: none or ``null`` is an empty object, an object is itself, other text is a form."""
+    """A request's body as JSON: none or ``null`` is an empty object, an object is itself, other text is a form; NULL if that can't be decoded."""
 
     @F.pandas_udf("string")
     def run(held: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str:
+        def one(t: str | None) -> str | None:
             if t is None or t.strip() in ("", "null"):
                 return "{}"
             try:
                 value = json.loads(t)
             except ValueError:
                 value = None
-            return json.dumps(value if isinstance(value, dict) else decoded(t), sort_keys=True, ensure_ascii=False)
+            try:
+                return json.dumps(value if isinstance(value, dict) else decoded(t), sort_keys=True, ensure_ascii=False)
+            except ValueError:
+                return None
 
         return held.map(one)
 

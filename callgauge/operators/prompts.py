@@ -19,6 +19,23 @@ def display_name(api: Column, *tables: dict[str, str]) -> Column:
     return F.coalesce(*found, api)
 
 
+#: What chat models are told besides, and how their names are known.
+CHAT_EXTRA = " without any explanations"
+CHAT_MARK, CHAT_PREFIXES = "-instruct", ("openai/", "google/")
+
+
+def is_chat(model: Column) -> Column:
+    out = F.contains(F.lower(model), F.lit(CHAT_MARK))
+    for prefix in CHAT_PREFIXES:
+        out = out | model.startswith(prefix)
+    return out
+
+
+def extra_instruction(model: Column) -> Column:
+    """What the prompt adds for a chat model, else nothing."""
+    return F.when(is_chat(model), CHAT_EXTRA).otherwise("")
+
+
 def starter(code: Column, method: Column, url: Column, template_url: Column) -> Column:
     """Given code, else the call up to its URL; a template URL stands in back-ticks."""
     call = F.concat(method, F.when(template_url.isNotNull(), F.concat(F.lit("(`"), template_url, F.lit("`"))).otherwise(F.concat(F.lit("('"), url, F.lit("'"))))

@@ -122,3 +122,33 @@ def latex(table: DataFrame, label: str, columns: list[str], rows: int = 500) ->
         lines.append(" & ".join([str(r[label]).replace("_", r"\_"), *cells]) + r" \\")
     head = " & ".join(["", *(c.replace("_", r"\_") for c in columns)]) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{l{'r' * len(columns)}}}", r"\toprule", head, r"\midrule", *lines, r"\bottomrule", r"\end{tabular}"])
+
+
+#: How names are shortened in tables.
+SHORT_NAMES = (("argument Jaccard", "arg. Jaccard"), ("argument value conditional accuracy", "arg. val. cond. acc."))
+SHORT_HEADS = (("Invocation", "inv."), ("Endpoint", "endp."), ("vanilla", "UD"), ("constrained", "CD"))
+
+
+def shortened(name: Column, names: tuple = SHORT_NAMES) -> Column:
+    for long, short in names:
+        name = F.replace(name, F.lit(long), F.lit(short))
+    return name
+
+
+def rotated(head: Column, width: int = 20, angle: int = 45) -> Column:
+    """A column's head for LaTeX, shortened and turned."""
+    return F.concat(F.lit(rf"\makebox[{width}pt][l]{{\rotatebox{{{angle}}}{{"), shortened(head, SHORT_HEADS), F.lit("}}"))
+
+
+def broken_label(label: Column, threshold: int) -> Column:
+    """A label longer than ``threshold`` with a line break for its first space from a third of its length on."""
+    third = F.floor(F.length(label) / 3).cast("int")
+    ahead = F.instr(F.substring(label, third + 1, F.length(label)), F.lit(" "))
+    broken = F.concat(F.substring(label, F.lit(1), third + ahead - 1), F.lit("\n"), F.substring(label, third + ahead + 1, F.length(label)))
+    return F.when((F.length(label) > threshold) & (ahead > 0), broken).otherwise(label)
+
+
+def summary_lines(rates: DataFrame, group: str) -> DataFrame:
+    """line: a rollup of hit rates (group, n, percent) as lines of a report, all rows last."""
+    line = F.format_string("%s: %d samples, %.2f %%", F.coalesce(F.col(group).cast("string"), F.lit("all")), "n", "percent")
+    return rates.orderBy(F.col(group).isNull(), group).select(line.alias("line"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from callgauge.plans import evaluate, evaluation, reports, retrieve, specs, texts, urls
+from callgauge.plans import crosscheck, evaluate, evaluation, reports, retrieve, specs, texts, urls
 
-FAMILIES = (evaluation, urls, texts, reports, specs, evaluate, retrieve)
+FAMILIES = (evaluation, urls, texts, reports, specs, evaluate, crosscheck, retrieve)
 
 
 def queries() -> dict[str, Callable]:

@@ -48,11 +48,11 @@ def followed(tokens: DataFrame, rules: list[Rule], limit: float = 900.0) -> Data
     return tokens.groupBy("id").applyInPandasWithState(follow(rules, limit), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, schema: str, spark: SparkSession, timeout: int = 600) -> DataFrame:
-    """All that a stream over files gives now, as a table at ``path``; a run that is cut off goes on from its checkpoint."""
+def drained(stream: DataFrame, path: str, checkpoint: str, schema: str, spark: SparkSession, timeout: int | None = None) -> DataFrame:
+    """All that a stream over files gives now, as a table at ``path``; a run that is cut off goes on from its checkpoint. ``timeout``: seconds, if it is to be bounded."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     try:
-        if not query.awaitTermination(timeout):
+        if query.awaitTermination(timeout) is False:
             raise TimeoutError("the stream didn't end")
     finally:
         query.stop()
