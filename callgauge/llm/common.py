@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/callgauge/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of intermediate tables: what a task that writes one holds of it.
+ROW_GROUP = 32 << 20
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there and columns prune."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +50,7 @@ class Scratch:
         path = shared_dir(self.spark, label)
         if not keep:
             self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:

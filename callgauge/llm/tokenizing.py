@@ -10,7 +10,7 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from os.path import commonprefix
 from string import punctuation
 
@@ -100,21 +100,19 @@ class Ids:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         before, normal = told["pre_tokenizer"] or {}, told["normalizer"]
-        model, letters = self.library.model, str.maketrans({b: c for b, c in enumerate(_byte_letters())})
+        letters = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
         marks = [t["content"] for t in told["added_tokens"]]
         lead = commonprefix(marks)
 
         merged = merger(told["model"]) if told["model"]["type"] == "BPE" else None
 
         def modelled(p: bytes) -> bytes:
-            return array("I", [t.id for t in model.tokenize(p.decode("latin-1").translate(letters))]).tobytes()
+            return array("I", [t.id for t in self.library.model.tokenize(p.decode("latin-1").translate(letters))]).tobytes()
 
         self.merged = merged or modelled
         self.pieces = _Memo(lambda p: self.merged(p.encode()), PIECES)
@@ -127,7 +125,7 @@ class Ids:
             and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"]
             and not steps[1]["add_prefix_space"] and r"\s" in steps[0]["pattern"]["Regex"]
         ):
-            self.find, normalised = regex.compile(steps[0]["pattern"]["Regex"]).findall, self.library.normalizer.normalize_str
+            self.find, normalised = regex.compile(steps[0]["pattern"]["Regex"]).findall, lambda u: self.library.normalizer.normalize_str(u)
 
             def unit(u: str) -> bytes:
                 if lead in u and any(m in u for m in marks):
@@ -143,6 +141,15 @@ class Ids:
             self.packed = self._whole
         self.after = _Memo(self._after)
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded where a text needs it: it has as many bytes as all else that a worker holds of the file."""
+        from tokenizers import Tokenizer
+
+        held = Tokenizer.from_file(self.path)
+        held.encode_special_tokens = True
+        return held
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
