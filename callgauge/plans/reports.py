@@ -221,6 +221,8 @@ def _summary(name: str, f: str) -> str:
 
 
 SQL = {
+    "extract_call": """WITH b AS (SELECT doc_id, 'axios.get(''' || regexp_replace(text, '[()'']', '', 'g') || ''')' AS body FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN body END AS call, coalesce(doc_id % 3 = 0 AND body IS NOT NULL, false) AS complete FROM b""",
     "experiment_grid": "SELECT r_name AS model, api, setup, setting FROM region CROSS JOIN (VALUES ('google_calendar_v3'), ('google_sheet_v4')) a(api) CROSS JOIN (VALUES ('invocation'), ('endpoint')) b(setup) CROSS JOIN (VALUES ('vanilla'), ('constrained'), ('spec')) c(setting)",
     "resume_todo": "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "settings_pivot": f"WITH {_PIVOT} SELECT * FROM p",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from callgauge.functions import text as fn
 from callgauge.operators import retrieval
 from callgauge.plans import specs as mini
 from callgauge.sources import specs
+from callgauge.sources.files import kept
 
 BUDGET = 8000  #: characters handed on
 
@@ -27,6 +32,48 @@ def found_operations(tasks: DataFrame, descriptions: DataFrame, k: int = 5, boos
     return retrieval.top(one, "task_id", k, F.col("_r"))
 
 
+def found_by_vectors(tasks: DataFrame, descriptions: DataFrame, embed: Callable, k: int = 5, rerank: Callable | None = None) -> DataFrame:
+    """Like found_operations(), by injected models: ``embed`` and ``rerank`` as retrieval.embedded() and reranked() take them.
+
+    The nearest 5 ``k`` texts of a task's own vector by L2 become operations, each at the place of its first text; with
+    ``rerank`` at least retrieval.CANDIDATES are scored again against the task, from high to low. score: a negative distance or the new score.
+    """
+    wide = max(5 * k, retrieval.CANDIDATES if rerank else 0)
+    texts = kept(specs.documents(descriptions).filter("error IS NULL").withColumn("doc_id", F.xxhash64("spec", "path", "method", "variant")), "texts")
+    own, asked = retrieval.embedded(texts, embed, "doc_id", "content"), retrieval.embedded(tasks, embed, "task_id", "task")
+    near = retrieval.vector_topk(kept(asked.withColumnRenamed("task_id", "doc_id"), "asked"), kept(own, "vectors"), wide, "doc_id")
+    named = near.join(texts.select("doc_id", "spec", "path", "method", "content"), "doc_id").withColumnRenamed("query_id", "task_id")
+    one = named.groupBy("task_id", "spec", "path", "method").agg(F.min("rank").alias("_r"), F.min_by("content", "rank").alias("content"), (-F.min("distance")).alias("score"))
+    if rerank is None:
+        return retrieval.top(one, "task_id", k, F.col("_r")).drop("_r", "content")
+    pairs = one.join(tasks.select("task_id", "task"), "task_id")
+    again = retrieval.reranked(pairs, rerank, "task", "content")
+    return retrieval.top(again, "task_id", k, F.col("score").desc(), F.col("_r")).drop("_r", "content", "task")
+
+
+#: Fixed value: what marks a text that was cut.
+CUT = "[TRUNCATED]"
+
+
+def wrapped(found: DataFrame, descriptions: DataFrame, budget: int | None = None) -> DataFrame:
+    """task_id, context: title and first server of the API and the endpoints found, in order, as YAML; cut to ``budget`` characters and marked."""
+    heads = specs.each_spec(descriptions, lambda spec: [((spec.get("info") or {}).get("title"), (spec.get("servers") or [{}])[0].get("url"))], "title string, server string").filter("error IS NULL")
+    ends = specs.endpoints(descriptions).filter("error IS NULL").select("spec", "path", "method", "endpoint")
+    told = found.join(ends, ["spec", "path", "method"]).groupBy("task_id", "spec").agg(F.array_sort(F.collect_list(F.struct("rank", "endpoint"))).alias("_e")).join(heads, "spec")
+
+    @F.pandas_udf("string")
+    def shown(title: pd.Series, server: pd.Series, listed: pd.Series) -> pd.Series:
+        import yaml
+
+        one = lambda t, s, e: yaml.safe_dump({"title": t, "server_url": s, "paths": [json.loads(x) for x in e]}, indent=2, width=float("inf"), allow_unicode=True, sort_keys=False)
+        return pd.Series([one(*x) for x in zip(title, server, listed, strict=True)], dtype=object)
+
+    whole = shown("title", "server", F.transform("_e", lambda e: e["endpoint"]))
+    if budget is not None:
+        whole = F.when(F.length(whole) > budget, F.concat(F.substring(whole, 1, budget), F.lit(CUT))).otherwise(whole)
+    return told.select("task_id", whole.alias("context"))
+
+
 def context(found: DataFrame, descriptions: DataFrame, budget: int = BUDGET) -> DataFrame:
     """task_id, context: the declarations of the operations found, in order, cut at a line within the budget."""
     shown = specs.declarations(descriptions).filter("error IS NULL").select("spec", "path", "method", "declaration")

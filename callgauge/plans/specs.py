@@ -160,5 +160,14 @@ def form_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("decoded", forms.body_json(F.col("body")))
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "batch_state": """WITH RECURSIVE e AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i, floor(epoch(ts)) AS t,
+            CASE WHEN event_type = 'error' THEN 'submit' WHEN event_id % 2 = 0 THEN 'collect' ELSE 'result' END AS kind FROM events),
+        s AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS i, 'absent' AS state, CAST(0 AS DOUBLE) AS since, false AS expired FROM e
+            UNION ALL SELECT s.job, e.i, CASE WHEN state IN ('absent', 'collected') AND kind = 'collect' THEN 'collected' WHEN state = 'collected' AND kind = 'submit' THEN 'submitted'
+                    WHEN state = 'submitted' AND kind = 'result' THEN CASE WHEN t - since > 86400 THEN 'absent' ELSE 'completed' END ELSE state END,
+                CASE WHEN (state IN ('absent', 'collected') AND kind = 'collect') OR (state = 'collected' AND kind = 'submit') THEN t ELSE since END,
+                expired OR (state = 'submitted' AND kind = 'result' AND t - since > 86400) FROM s JOIN e ON s.job = e.job AND e.i = s.i + 1)
+        SELECT job, max_by(state, i) AS state, max(i) AS events, max_by(expired, i) AS expired FROM s GROUP BY job""",
+}
 QUERIES = {f.__name__: f for f in (spec_catalog, spec_resolved, spec_typescript, spec_documents, constraint_match, constraint_stream, form_decode)} | {"batch_state": batch_states}

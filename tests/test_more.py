@@ -81,3 +81,27 @@ def test_best_by_scan_and_by_joins(spark, monkeypatch):
     some = {(r["q"], r["d"]): r["containment"] for r in retrieval.containment(*args, pairs).collect()}
     every = {(r["q"], r["d"]): r["containment"] for r in retrieval.containment(*args).collect()}
     assert some == {k: v for k, v in every.items() if k in {(1, 5), (2, 6), (7, 1)}}
+
+
+def test_endpoints_by_injected_models(spark):
+    """A bag-of-letters embedder finds the text that it is given, a scorer turns the order round; the wrap names title and server."""
+    from callgauge.plans import retrieve
+    from callgauge.plans import specs as mini
+    from callgauge.sources import specs
+
+    own = mini.mini(spark).filter("spec = 'mini'")
+    texts = specs.documents(own).filter("error IS NULL").select("path", "method", "content").collect()
+    tasks = spark.createDataFrame([(i, t["content"]) for i, t in enumerate(texts)], "task_id long, task string")
+    letters = "abcdefghijklmnopqrstuvwxyz{}/: "
+
+    def embed():
+        return lambda held: [[float(t.lower().count(c)) for c in letters] for t in held]
+
+    first = {r["task_id"]: (r["path"], r["method"]) for r in retrieve.found_by_vectors(tasks, own, embed, 2).filter("rank = 1 AND score = 0").collect()}
+    assert all(first[i] == (t["path"], t["method"]) for i, t in enumerate(texts) if sum(x["content"] == t["content"] for x in texts) == 1)
+    again = retrieve.found_by_vectors(tasks.limit(1), own, embed, 3, lambda: lambda pairs: [-float(len(c)) for _, c in pairs]).orderBy("rank").collect()
+    assert [r["rank"] for r in again] == [1, 2, 3] and [r["score"] for r in again] == sorted((r["score"] for r in again), reverse=True)
+    told = retrieve.wrapped(retrieve.found_by_vectors(tasks.limit(1), own, embed, 2), own).first()["context"]
+    assert told.startswith("title:") and "server_url: https://shop.example.com/v1" in told
+    cut = retrieve.wrapped(retrieve.found_by_vectors(tasks.limit(1), own, embed, 2), own, 30).first()["context"]
+    assert cut == told[:30] + retrieve.CUT
