@@ -1,9 +1,10 @@
-"""Near copies: short fingerprints propose pairs of texts, the exact Jaccard similarity of their shingles decides.
+"""Near copies: SimHash fingerprints within a radius propose pairs of texts, the exact Jaccard similarity of their shingles decides.
 
 Texts of equal shingles are one point. Fingerprints of whole texts that are just alike enough differ in 10 of 64 bits on
-average, where no vantage point prunes; so a point has BANDS short fingerprints instead, each the SimHash of DRAWN of its
-shingles, drawn by min-wise hashing: two texts of similarity s draw the same ones with probability s ** DRAWN. Points that
-share a fingerprint are joined, by the smallest of them, to groups; all of it is aggregations and joins on keys, a
+average, a radius at which no vantage point prunes; so a point has BANDS short fingerprints besides that of its whole text, each the
+SimHash of DRAWN of its shingles, drawn by min-wise hashing: two texts of similarity s draw the same ones with probability
+s ** DRAWN. All fingerprints go through the vantage-point trees of operator 2, band by band, and those that are joined by
+RADIUS or fewer differing bits, itself included, are one. Points that share such a one are joined, by the smallest of them, to groups: a
 star a fingerprint and never its pairs. Inside a group the pairs that are near by bits of their whole texts are checked by
 their shingles, and only those that pass become links. Groups too large for a block are first compared with a
 few leaders, a pass over their members; those that are not joined to the largest part by then are
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callgauge.llm.common import Scratch, small, text_of
-from callgauge.llm.simhash import components, majority, remixed, roots_of, shingle_hashes
+from callgauge.llm.simhash import class_links, components, majority, remixed, roots_of, shingle_hashes
 
 #: At similarity 0.8 a pair shares no fingerprint with probability (1 - 0.8 ** 5) ** 20 = 3.6e-4, at 0.85 8e-6, at 0.9 1.8e-8.
 BANDS, DRAWN = 20, 5
+RADIUS = 3  #: differing bits of 64 up to which two fingerprints of a band propose their texts
 #: Differing bits of 256 up to which a pair is checked. At similarity 0.8 some 39 differ, of texts of five shingles 48; the deviation is 6.
 TOTAL = 72
 PRINTS = 4
@@ -67,7 +69,7 @@ def sha(text: Column) -> Column:
 
 
 def marked(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, _s (SHA-256 of the text), node (hash of the shingles), n (distinct shingles), keys (short fingerprints; none of a text without a word)."""
+    """_id, _s (SHA-256 of the text), node (hash of the shingles), n (distinct shingles), keys (short fingerprints, and that of the whole text; none of a text without a word)."""
     from xxhash import xxh3_128_digest
 
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_s", sha(F.col("_t"))).select("_id", "_s", "_t")
@@ -79,7 +81,7 @@ def marked(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 h = np.unique(shingle_hashes(text.as_py(), words))
                 nodes.append(xxh3_128_digest(h.tobytes()))
                 counts.append(len(h))
-                keys.append(short_prints(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                keys.append(np.append(short_prints(h), np.uint64(majority(h))).view(np.int64) if len(h) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), listed], ["_id", "_s", "node", "n", "keys"])
@@ -89,11 +91,18 @@ def marked(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
 
 def candidates(marks: DataFrame, ratio: float, scratch: Scratch) -> DataFrame:
-    """(a, b): of each short fingerprint the star of the points that share it."""
+    """(a, b): of each group of fingerprints that the vantage-point trees join the star of the points that have one of it."""
     # of fewer shingles only equal ones are so alike, and those are one point
-    keyed = marks.filter(F.col("n") >= ratio / (1 - ratio) - 1e-6).select("node", F.explode("keys").alias("key"))
-    shared = scratch.written(keyed.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last")).filter("_first <> _last").select(F.col("key").alias("_key"), "_first"), "near-shared")
-    return keyed.join(small(shared), F.col("key") == F.col("_key")).filter("node <> _first").select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct()
+    keyed = marks.filter(F.col("n") >= ratio / (1 - ratio) - 1e-6).select("node", F.posexplode("keys").alias("class", "fp"))
+    prints = keyed.groupBy("class", "fp").agg(F.min("node").alias("_least"), (F.min("node") != F.max("node")).alias("_more"))
+    prints = scratch.written(prints, "near-prints")
+    near = components(class_links(prints, BANDS + 1, RADIUS, scratch), scratch)
+    near = scratch.written(near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "_fp"), "near-joined")
+    rooted = prints.join(small(near), F.col("fp") == F.col("_fp"), "left").filter("_more OR root IS NOT NULL")
+    rooted = scratch.written(rooted.select(F.col("fp").alias("_key"), F.coalesce("root", "fp").alias("root"), "_least"), "near-rooted")
+    first = rooted.groupBy("root").agg(F.min("_least").alias("_first"))
+    shared = scratch.written(rooted.select("_key", "root").join(first, "root").select("_key", "_first").distinct(), "near-shared")
+    return keyed.join(small(shared), F.col("fp") == F.col("_key")).filter("node <> _first").select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct()
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:

@@ -164,6 +164,16 @@ def close_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: in
                 yield i[ok] + at, j[ok]
 
 
+def trees_over(points: DataFrame, n: int, radius: int, classes: int = 1) -> tuple[list, int]:
+    """Masks with a tree each for ``n`` points (fp first), of which only those of one of ``classes`` are compared, and the radius under a mask."""
+    of_class = -(-n // classes)
+    most = min(MOST, max(SAMPLE, of_class // SHARE))
+    taken = points.filter(F.pmod(F.xxhash64(*points.columns, F.lit(7)), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # of two halves one differs in half of the radius at most
+    masks, within = (HALVES, radius // 2) if of_class > LEAF else ((HALVES[0] | HALVES[1],), radius)
+    return [(np.uint64(m), grow(taken & np.uint64(m), of_class, within)) for m in masks], within
+
+
 def links(points: DataFrame, radius: int, total: int, ratio: float | None, scratch: Scratch | None = None) -> DataFrame:
     """(a, b): links between nodes of ``points`` (node, fp, fp2, lo, hi), a spanning star a group and task.
 
@@ -171,12 +181,7 @@ def links(points: DataFrame, radius: int, total: int, ratio: float | None, scrat
     classes a ratio wide, and each also visits the class above its own.
     """
     scratch = scratch or Scratch(points.sparkSession)
-    n = points.count()
-    most = min(MOST, max(SAMPLE, n // SHARE))
-    taken = points.filter(F.pmod(F.xxhash64("fp", "fp2", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    # of two halves one differs in half of the radius at most
-    masks, within = (HALVES, radius // 2) if n > LEAF else ((HALVES[0] | HALVES[1],), radius)
-    trees = [(np.uint64(m), grow(taken & np.uint64(m), n, within)) for m in masks]
+    trees, within = trees_over(points.select("fp", "fp2"), points.count(), radius)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,6 +223,43 @@ def links(points: DataFrame, radius: int, total: int, ratio: float | None, scrat
     return tasks.groupBy("_task").applyInArrow(compared, "a string, b string").filter("a <> b")
 
 
+def class_links(points: DataFrame, classes: int, radius: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between the fingerprints of one class of ``points`` (fp, class from 0; distinct), a spanning star a group and task.
+
+    All classes go through the same trees and part at the leaves.
+    """
+    trees, within = trees_over(points.select("fp", "class"), points.count(), radius, classes)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, of = batch.column("fp").to_numpy(), batch.column("class").to_numpy()
+            for k, (mask, tree) in enumerate(trees):
+                rows, leaves = route(tree, fp.view(np.uint64) & mask, within)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array((leaves * len(trees) + k) * classes + of[rows], pa.int64())], ["fp", "leaf"])
+
+    shards = scratch.written(points.select("fp", F.col("class").cast("long").alias("class")).mapInArrow(dealt, "fp bigint, leaf bigint"), "simhash-shards")
+    blocks = shards.groupBy("leaf").count().filter("count > 1").select("leaf", F.ceil(F.col("count") / LEAF).cast("int").alias("_g"))
+    own = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("_g")).cast("int")
+    tasks = shards.join(blocks, "leaf").select("fp", "leaf", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_other"))
+    # 0 where a block meets itself, else the side of the point
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2).cast("byte")
+    tasks = tasks.select("fp", side.alias("_side"), F.concat_ws(":", "leaf", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_task"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        fp, side = group.column("fp").to_numpy(), group.column("_side").to_numpy()
+        prints = np.stack([fp.view(np.uint64), np.zeros(len(fp), np.uint64)], 1)
+        if not side[0]:
+            pairs = close_pairs(prints, prints, True, radius, radius)
+        else:
+            x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+            pairs = ((x[a], y[b]) for a, b in close_pairs(prints[x], prints[y], False, radius, radius))
+        root = roots_of(len(fp), pairs)
+        linked = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.table({"a": pa.array(fp[linked]), "b": pa.array(fp[root[linked]])})
+
+    return tasks.groupBy("_task").applyInArrow(compared, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) but the roots, with the smallest node that it reaches."""
     if scratch is None:

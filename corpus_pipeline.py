@@ -35,7 +35,8 @@ def first_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group joined by pairs that share 0.8 or more of their five-word shingles.
 
-    Short SimHash fingerprints only propose the pairs; the exact Jaccard similarity of their shingles decides. Texts of fewer
+    SimHash fingerprints within 3 bits, found by vantage-point trees as in operator 2, only propose the pairs; the exact Jaccard
+    similarity of their shingles decides. A text has one fingerprint of its own and 20 of drawn shingles. Texts of fewer
     than five words are one shingle; null texts and those without a word are alike. A repeated id goes by its
     own text; a null id ranks behind every id. Empty table: no rows.
     """
